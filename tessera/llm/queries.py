@@ -33,7 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": r"""
         WITH l AS (
-            SELECT doc_id, generate_subscripts(lines, 1) AS at, unnest(lines) AS line, len(lines) AS n_lines
+            SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line, len(lines) AS n_lines
             FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
         ), k AS (
             SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
@@ -43,7 +43,7 @@ ORACLES: dict[str, str] = {
             SELECT k.*, (r.key IS NOT NULL AND k.doc_id <> r.last) AS gone FROM k LEFT JOIN r ON k.key = r.key
         )
         SELECT doc_id, any_value(n_lines)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM f GROUP BY doc_id
     """,
 }
