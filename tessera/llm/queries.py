@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat, pieces
 from tessera.llm.common import table
+from tessera.llm.decontaminate import contamination, is_contaminated
 from tessera.llm.lines import line_dedup
 from tessera.llm.simhash import fingerprint_components
 
@@ -54,11 +55,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_components(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), _sha256(F.array_join("items", ",")).alias("items_sha256"),
+        is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pieces": op2_pieces,
     "op3_chat": op3_chat,
     "op5_simhash": op5_simhash,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +103,27 @@ ORACLES: dict[str, str] = {
                sum(length(shown))::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op8_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+        ), i AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+        ), iw AS (
+            SELECT DISTINCT item_id, ws[s : s + least(13, len(ws)) - 1] AS w, least(13, len(ws)) AS n
+            FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS s FROM i WHERE len(ws) > 0)
+        ), sizes AS (SELECT DISTINCT n FROM iw
+        ), dw AS (
+            SELECT doc_id, s, n, ws[s : s + n - 1] AS w
+            FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, sizes WHERE len(ws) >= n)
+        ), m AS (
+            SELECT dw.doc_id, dw.s, dw.n, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.w = iw.w
+        ), h AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id
+        ), t AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+    """,
 }
