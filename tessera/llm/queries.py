@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm import chat, pieces
 from tessera.llm.common import table
 from tessera.llm.decontaminate import contamination, is_contaminated
+from tessera.llm.htmltext import extract_text
 from tessera.llm.lines import line_dedup
 from tessera.llm.simhash import fingerprint_components
 
@@ -51,6 +52,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_components(table(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pieces": op2_pieces,
     "op3_chat": op3_chat,
+    "op4_html": op4_html,
     "op5_simhash": op5_simhash,
     "op8_decontaminate": op8_decontaminate,
 }
