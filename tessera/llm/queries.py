@@ -14,6 +14,7 @@ from tessera.llm.decontaminate import contamination, is_contaminated
 from tessera.llm.htmltext import extract_text
 from tessera.llm.lines import line_dedup
 from tessera.llm.simhash import fingerprint_components
+from tessera.llm.substrings import remove_repeats
 
 
 def _sha256(text: Column) -> Column:
@@ -60,6 +61,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_components(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", _sha256(F.col("text")).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
     return found.select(
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": op3_chat,
     "op4_html": op4_html,
     "op5_simhash": op5_simhash,
+    "op6_substrings": op6_substrings,
     "op8_decontaminate": op8_decontaminate,
 }
 
