@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, pieces
+from tessera.llm import chat, pieces, quality
 from tessera.llm.common import table
 from tessera.llm.decontaminate import contamination, is_contaminated
 from tessera.llm.htmltext import extract_text
 from tessera.llm.lines import line_dedup
+from tessera.llm.shards import shard
 from tessera.llm.simhash import fingerprint_components
 from tessera.llm.substrings import remove_repeats
 
@@ -65,6 +66,12 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", _sha256(F.col("text")).alias("kept_sha256"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, quality.grades_of(table(spark, sf_dir, "labels")))
+    return quality.grade(docs, model, keep_from=2).select("doc_id", "expected_grade", "tail", "keep")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
     return found.select(
@@ -73,6 +80,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bytes of text that a shard holds at most.
+SHARD_BYTES = 8 << 20
+
+
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pieces": op2_pieces,
@@ -80,7 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html": op4_html,
     "op5_simhash": op5_simhash,
     "op6_substrings": op6_substrings,
+    "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
+    "op9_shards": op9_shards,
 }
 
 ORACLES: dict[str, str] = {
@@ -138,4 +155,22 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
     """,
+    "op9_shards": r"""
+        WITH r AS (
+            SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, ''))::BIGINT AS row_bytes,
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0))), 1, 15))::BIGINT AS h FROM documents
+        ), d0 AS (
+            SELECT greatest(0, ceil(log2(greatest(1, sum(row_bytes) / 8388608.0))))::INTEGER AS d FROM r
+        ), g AS (
+            SELECT r, doc_id, row_bytes, depth::INTEGER AS depth, h >> (60 - depth) AS prefix,
+                   count(*) OVER w AS shard_rows, sum(row_bytes) OVER w AS shard_bytes,
+                   row_number() OVER (PARTITION BY r ORDER BY NULL) AS x
+            FROM (SELECT r.*, unnest(range(d0.d, least(d0.d + 24, 60) + 1)) AS depth FROM r, d0)
+            WINDOW w AS (PARTITION BY depth, h >> (60 - depth))
+        ), f AS (
+            SELECT *, row_number() OVER (PARTITION BY r ORDER BY depth) AS k FROM g WHERE shard_bytes <= 8388608 OR shard_rows = 1
+        )
+        SELECT doc_id, row_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth, shard_rows::BIGINT AS shard_rows, shard_bytes::BIGINT AS shard_bytes
+        FROM f WHERE k = 1
+    """,
 }
