@@ -81,7 +81,7 @@ class Model:
         return [float(1 / (1 + np.exp(np.clip(t - score, -60, 60)))) for t in self.thresholds]
 
 
-def fit(rows: list[tuple[dict[int, float], int]], l2: float = 1.0, steps: int = 300, min_texts: int = MIN_TEXTS) -> Model:
+def fit(rows: list[tuple[dict[int, float], int]], l2: float = 3.0, steps: int = 300, min_texts: int = MIN_TEXTS) -> Model:
     """Fits by full-batch adaptive gradient steps with an L2 penalty. Fewer than two grades: all weights are zero."""
     grades = sorted({g for _, g in rows})
     if len(grades) < 2:
@@ -143,7 +143,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, d
     return fit([(dict(zip(r["b"], r["x"])), r["_grade"]) for r in got])
 
 
-def grade(docs: DataFrame, model: Model, keep_from: int, min_tail: float = 0.5, text: str = "text") -> DataFrame:
+def grade(docs: DataFrame, model: Model, keep_from: int, min_tail: float = 0.4, text: str = "text") -> DataFrame:
     """``docs`` with ``expected_grade``, ``tail`` (the probability of a grade of at least ``keep_from``) and ``keep``
     (whether that is at least ``min_tail``); input columns of these names are replaced.
 
