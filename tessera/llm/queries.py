@@ -13,6 +13,7 @@ from tessera.llm.common import table
 from tessera.llm.decontaminate import contamination, is_contaminated
 from tessera.llm.htmltext import extract_text
 from tessera.llm.lines import line_dedup
+from tessera.llm.neighbours import nearest
 from tessera.llm.shards import shard
 from tessera.llm.simhash import fingerprint_components
 from tessera.llm.substrings import remove_repeats
@@ -88,6 +89,10 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, top=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pieces": op2_pieces,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
     "op9_shards": op9_shards,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLES: dict[str, str] = {
