@@ -21,11 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut
+
 #: Pages of a host that its wrapper is inferred from: those with the least hash of url and id.
 SAMPLE_PAGES = 12
 #: Groups that a wrapper holds at one level; an article's many paragraphs are one repeated group, so this is never reached by layout.
 LEVEL_GROUPS = 64
 
+#: Wrappers are broadcast up to so many bytes of them.
+BROADCAST_BYTES = 32 << 20
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -321,7 +326,10 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", m
     Every row gives a row. A column named like ``out`` is replaced. Broken and deeply nested markup is read as far as
     it goes, and whole pages are, whatever their length.
     """
-    wrappers = infer_wrappers(pages, sample_pages, page_id, url, markup).withColumnRenamed("host", "_host").withColumnRenamed("wrapper", "_wrapper")
+    wrappers = cut(infer_wrappers(pages, sample_pages, page_id, url, markup).select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper")))
+    size = wrappers.agg(F.coalesce(F.sum(F.octet_length("_host") + F.octet_length("_wrapper")), F.lit(0)).alias("n")).first()["n"]
+    # a wrapper is a short path; where there are too many hosts to send them all, pages are shuffled by host
+    wrappers = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
     kept = [c for c in pages.columns if c != out]
     joined = pages.select(*kept, F.col(markup).alias("_html"), host_of(F.col(url)).alias("_of")).join(wrappers, F.col("_of") == F.col("_host"), "left").select(*kept, "_html", "_wrapper")
     schema = pages.select(*kept, F.lit("").alias(out)).schema
