@@ -21,16 +21,20 @@ def _last(events: DataFrame) -> Column:
     return F.lit(events.agg(F.max("ts")).first()[0])
 
 
-HOURLY = ContinuousAggregate(
-    "ts", "1 hour", ("event_type",),
-    (
-        F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("n_high"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"),
-        F.min("value").alias("lowest"), F.max("value").alias("highest"), F.min_by("value", F.struct("ts", "event_id")).alias("first_value"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"),
-    ),
-)
+def hourly() -> ContinuousAggregate:
+    moment = F.struct("ts", "event_id")
+    return ContinuousAggregate(
+        "ts", "1 hour", ("event_type",),
+        (
+            F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("n_high"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 9).alias("mean"),
+            F.min("value").alias("lowest"), F.max("value").alias("highest"), F.min_by("value", moment).alias("first_value"), F.max_by("value", moment).alias("last_value"),
+        ),
+    )
+
+
 _HOURLY_SQL = """
     SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS n_high,
-           round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS lowest, max(value) AS highest,
+           round(sum(value), 4) AS total, round(avg(value), 9) AS mean, min(value) AS lowest, max(value) AS highest,
            arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value
     FROM events GROUP BY 1, 2
 """
@@ -38,7 +42,7 @@ _HOURLY_SQL = """
 
 @query(_HOURLY_SQL)
 def cagg_hourly_event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return HOURLY.query(_events(spark, sf_dir))
+    return hourly().query(_events(spark, sf_dir))
 
 
 @query("""SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, count(*) AS n, count(*) FILTER (WHERE value > 50) AS high,
@@ -55,12 +59,12 @@ def cagg_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy(time_bucket("3 hours", "ts").alias("bucket"), "user_id").agg(F.min_by("value", moment).alias("first_value"), F.max_by("value", moment).alias("last_value"))
 
 
-@query("""SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
+@query("""SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 9) AS mean FROM events GROUP BY 1, 2""")
 def cagg_daily_from_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolled up from stored sums and counts, as a mean of means would be wrong."""
     hourly = _events(spark, sf_dir).groupBy(time_bucket("1 hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("c"), F.sum("value").alias("s"))
     daily = hourly.groupBy(time_bucket("1 day", "hour").alias("bucket"), "event_type").agg(F.sum("c").alias("n"), F.sum("s").alias("s"))
-    return daily.select("bucket", "event_type", "n", F.round("s", 4).alias("total"), F.round(F.col("s") / F.col("n"), 6).alias("mean"))
+    return daily.select("bucket", "event_type", "n", F.round("s", 4).alias("total"), F.round(F.col("s") / F.col("n"), 9).alias("mean"))
 
 
 @query(f"""WITH e AS (SELECT max(ts) AS last FROM events)
@@ -70,7 +74,7 @@ def cagg_refresh_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What one run of a refresh policy (start 2 days, end 1 hour) computes: the whole buckets in between."""
     events = _events(spark, sf_dir)
     last = _last(events)
-    return HOURLY.window_rows(events, minus(last, "2 days"), minus(last, "1 hour"))
+    return hourly().window_rows(events, minus(last, "2 days"), minus(last, "1 hour"))
 
 
 @query(_HOURLY_SQL)
@@ -78,15 +82,15 @@ def cagg_incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored up to a week before the end, then refreshed over the time since: as if computed at once."""
     events = _events(spark, sf_dir)
     last = _last(events)
-    stored = HOURLY.query(events.filter(F.col("ts") < minus(last, "7 days")))
-    return HOURLY.refresh(stored, events, minus(last, "8 days"), last + F.expr("INTERVAL '1' HOUR"))
+    stored = hourly().query(events.filter(F.col("ts") < minus(last, "7 days")))
+    return hourly().refresh(stored, events, minus(last, "8 days"), last + F.expr("INTERVAL '1' HOUR"))
 
 
 @query(_HOURLY_SQL)
 def cagg_realtime_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
     mark = time_bucket("1 hour", minus(_last(events), "1 day"))
-    return HOURLY.real_time(HOURLY.query(events.filter(F.col("ts") < mark)), events, mark)
+    return hourly().real_time(hourly().query(events.filter(F.col("ts") < mark)), events, mark)
 
 
 @query("SELECT * FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL '7 days'")
