@@ -81,20 +81,19 @@ class Model:
         return [float(1 / (1 + np.exp(np.clip(t - score, -60, 60)))) for t in self.thresholds]
 
 
-def fit(rows: list[tuple[dict[int, float], int]], l2: float = 3.0, steps: int = 300, min_texts: int = MIN_TEXTS) -> Model:
-    """Fits by full-batch adaptive gradient steps with an L2 penalty. Fewer than two grades: all weights are zero."""
-    grades = sorted({g for _, g in rows})
+def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.ndarray, l2: float = 3.0, steps: int = 300, min_texts: int = MIN_TEXTS) -> Model:
+    """Fits by full-batch adaptive gradient steps with an L2 penalty. Entry ``i`` says that text ``row[i]`` has
+    ``value[i]`` in ``bucket[i]``; ``grade`` has the grade of each text. Fewer than two grades: all weights are zero."""
+    grades = [int(g) for g in np.unique(grade)]
     if len(grades) < 2:
         return Model(grades, {}, [])
-    seen = Counter(b for f, _ in rows for b in f)
-    columns = {b: k for k, b in enumerate(sorted(b for b, n in seen.items() if n >= min_texts))}
-    entries = [(i, columns[b], x) for i, (f, _) in enumerate(rows) for b, x in f.items() if b in columns]
-    at = np.array([e[0] for e in entries], np.int64)
-    col = np.array([e[1] for e in entries], np.int64)
-    val = np.array([e[2] for e in entries], np.float64)
-    y = np.array([grades.index(g) for _, g in rows])
-    n, k = len(rows), len(grades)
-    w = np.zeros(len(columns))
+    seen, count = np.unique(bucket, return_counts=True)
+    used = seen[count >= min_texts]
+    kept = np.isin(bucket, used)
+    at, col, val = row[kept], np.searchsorted(used, bucket[kept]), value[kept].astype(np.float64)
+    y = np.searchsorted(grades, grade)
+    n, k = len(grade), len(grades)
+    w = np.zeros(len(used))
     share = np.cumsum(np.bincount(y, minlength=k))[:-1] / n
     first, gaps = float(np.log(share[0] / (1 - share[0]))), np.diff(np.log(share / (1 - share)))
     p = np.concatenate((w, [first], np.log(np.maximum(gaps, 1e-3))))  # gaps as logarithms keep the thresholds in order
@@ -116,7 +115,7 @@ def fit(rows: list[tuple[dict[int, float], int]], l2: float = 3.0, steps: int =
         total += grad**2
         p = p - 0.5 * grad / np.sqrt(total + 1e-12)
     w, t = p[: len(w)], _thresholds(p[len(w) :])
-    return Model(grades, {b: float(w[c]) for b, c in columns.items() if w[c]}, [float(x) for x in t])
+    return Model(grades, {int(b): float(x) for b, x in zip(used, w) if x}, [float(x) for x in t])
 
 
 def _thresholds(raw: np.ndarray) -> np.ndarray:
@@ -138,9 +137,13 @@ def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, d
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_grade"), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32()))], ["_id", "_grade", "b", "x"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    got = rows.mapInArrow(run, f"_id {kind}, _grade int, b array<int>, x array<float>").collect()
-    got.sort(key=lambda r: (str(r["_id"]), r["_grade"]))  # the same model whatever order the tasks ended in
-    return fit([(dict(zip(r["b"], r["x"])), r["_grade"]) for r in got])
+    got = rows.mapInArrow(run, f"_id {kind}, _grade int, b array<int>, x array<float>").toArrow()
+    got = got.sort_by([("_id", "ascending"), ("_grade", "ascending")]).combine_chunks()  # the same model whatever order the tasks ended in
+    if not got.num_rows:
+        return Model()
+    lists = got.column("b").combine_chunks()
+    lengths = np.diff(lists.offsets.to_numpy())
+    return fit(np.repeat(np.arange(got.num_rows), lengths), lists.flatten().to_numpy(), got.column("x").combine_chunks().flatten().to_numpy(), got.column("_grade").to_numpy())
 
 
 def grade(docs: DataFrame, model: Model, keep_from: int, min_tail: float = 0.4, text: str = "text") -> DataFrame:
