@@ -44,6 +44,8 @@ class Kind:
     #: Conditions under which an added or dropped one gives no change.
     add_if: str = "TRUE"
     drop_if: str = "TRUE"
+    #: Normal forms that several rules use: name and SQL of the dialect, over a plain row.
+    derived: tuple[tuple[str, Any], ...] = ()
 
 
 def _text(x: Any, dialect: str) -> str:
@@ -67,7 +69,7 @@ def _comment_rule(change: str, severity: str = f"'{SAFE}'") -> Rule:
 
 
 def _type_severity(dialect: str) -> str:
-    return _severity(N.widens_sql(N.type_sql("c.type", dialect), N.type_sql("d.type", dialect), dialect), SAFE, MIGRATION)
+    return _severity(N.widens_sql("c.norm_type", "d.norm_type", dialect), SAFE, MIGRATION)
 
 
 _CONSTRAINT = " OR ".join(
@@ -93,11 +95,11 @@ KINDS: dict[str, Kind] = {
         Kind("partitions", "partition", ("ADD_PARTITION", f"'{SAFE}'"), ("DROP_PARTITION", f"'{BREAKING}'"), (Rule("MODIFY_PARTITION", _norm_differs(N.body_sql, "bounds"), f"'{BREAKING}'", "c.bounds", "d.bounds"),)),
         Kind(
             "columns", "column", ("ADD_COLUMN", _severity('NOT d.nullable AND d."default" IS NULL AND d.identity IS NULL AND d.generated IS NULL', MIGRATION, SAFE)), ("DROP_COLUMN", _severity("NOT c.nullable", BREAKING, RISKY)),
-            (Rule("MODIFY_COLUMN_TYPE", _norm_differs(N.type_sql, "type"), _type_severity, "c.type", "d.type"),
+            (Rule("MODIFY_COLUMN_TYPE", _differs("norm_type"), _type_severity, "c.type", "d.type"),
              Rule("MODIFY_COLUMN_NULLABILITY", _differs("nullable"), _severity("d.nullable", SAFE, MIGRATION), "CASE WHEN c.nullable THEN 'NULL' ELSE 'NOT NULL' END", "CASE WHEN d.nullable THEN 'NULL' ELSE 'NOT NULL' END"),
              Rule("MODIFY_COLUMN_DEFAULT", _norm_differs(N.default_sql, '"default"'), f"'{SAFE}'", 'c."default"', 'd."default"'),
              _comment_rule("MODIFY_COLUMN_COMMENT")),
-            inside_tables=True,
+            inside_tables=True, derived=(("norm_type", lambda q: N.type_sql("type", q)),),
         ),
         Kind("constraints", "constraint", ("ADD_CONSTRAINT", _severity("d.kind = 'FOREIGN KEY' OR (d.kind = 'CHECK' AND lower(d.expression) LIKE '%not null%')", MIGRATION, SAFE)), ("DROP_CONSTRAINT", _severity("c.kind IN ('PRIMARY KEY', 'UNIQUE')", BREAKING, RISKY)), (Rule("MODIFY_CONSTRAINT", _CONSTRAINT, f"'{RISKY}'", "c.kind", "d.kind"),), inside_tables=True),
         Kind("indexes", "index", ("ADD_INDEX", f"'{SAFE}'"), ("DROP_INDEX", _severity("c.is_unique", BREAKING, RISKY)), (Rule("MODIFY_INDEX", _INDEX, _severity("d.is_unique", BREAKING, RISKY), "c.columns", "d.columns"),), add_if="NOT d.of_constraint", drop_if="NOT c.of_constraint"),
@@ -185,7 +187,8 @@ def _branches(kind: Kind, dialect: str) -> list[tuple[str, ...]]:
 
 def keyed_diff(current: DataFrame, desired: DataFrame, kind: Kind) -> DataFrame:
     """Changes between the flat rows of one kind. Keys are matched null-safely; each side has a key once."""
-    c, d = current.withColumn("here", F.lit(True)).alias("c"), desired.withColumn("here", F.lit(True)).alias("d")
+    more = {"here": F.lit(True)} | {n: F.expr(_text(sql, "spark")) for n, sql in kind.derived}
+    c, d = current.withColumns(more).alias("c"), desired.withColumns(more).alias("d")
     on = reduce(lambda a, b: a & b, (F.col(f"c.{k}").eqNullSafe(F.col(f"d.{k}")) for k in KEYS[kind.entity]))
     rows = []
     for when, change, severity, name, table, old, new in _branches(kind, "spark"):

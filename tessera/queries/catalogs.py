@@ -42,7 +42,8 @@ def _flat_sql(catalog: Catalog, entity: str) -> str:
 def diff_sql(entity: str) -> str:
     """The comparison of one kind in plain SQL: a full join, and a branch for each change."""
     kind = D.KINDS[entity]
-    c, d = (f"SELECT *, TRUE AS here FROM {_flat_sql(x, entity)} t" for x in (current(), desired()))
+    more = "".join(f", {D._text(sql, 'duckdb')} AS {n}" for n, sql in kind.derived)
+    c, d = (f"SELECT *, TRUE AS here{more} FROM {_flat_sql(x, entity)} t" for x in (current(), desired()))
     if kind.inside_tables:
         both = f"(SELECT a.schema, a.name FROM {_flat_sql(current(), 'tables')} a JOIN {_flat_sql(desired(), 'tables')} b ON a.schema = b.schema AND a.name = b.name)"
         c, d = (f"{x} WHERE (t.schema, t.\"table\") IN {both}" for x in (c, d))
