@@ -54,13 +54,13 @@ def _ORIGIN() -> Column:
     return F.expr("TIMESTAMP_NTZ'2000-01-03 00:00:00'")
 
 
-def window_bucket(width: str, ts: str | Column) -> Column:
-    """The same for a fixed width as a tumbling window, which the streaming engine takes as a watermarked group."""
+def bucket_window(width: str, ts: str | Column) -> Column:
+    """The same for a fixed width as a tumbling window, the group that keeps a stream's watermark; its ``start`` is the bucket."""
     months, seconds = interval_parts(width)
     if months:
         raise ValueError("a stream's bucket has a fixed length")
     micros = round(seconds * 1_000_000)
-    return F.window(ts, f"{micros} microseconds", f"{micros} microseconds", f"{ORIGIN_SECONDS * 1_000_000 % micros} microseconds").getField("start")
+    return F.window(ts, f"{micros} microseconds", f"{micros} microseconds", f"{ORIGIN_SECONDS * 1_000_000 % micros} microseconds")
 
 
 def plus(ts: Column, interval: str) -> Column:

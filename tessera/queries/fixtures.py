@@ -16,7 +16,7 @@ CREATE TABLE users (
   id bigserial PRIMARY KEY, name varchar(50) NOT NULL, email character varying(255) UNIQUE, age int CHECK (age >= 0), nick text, code smallint, amount numeric(10,2), note text NOT NULL,
   created_at timestamptz DEFAULT now(), active bool DEFAULT true, level integer, CONSTRAINT level_ok CHECK (level BETWEEN 1 AND 10));
 COMMENT ON TABLE users IS 'people'; COMMENT ON COLUMN users.name IS 'full   name';
-CREATE TABLE posts (id bigint PRIMARY KEY, user_id bigint NOT NULL REFERENCES users (id) ON DELETE CASCADE, title text, body text, CONSTRAINT title_key UNIQUE (title));
+CREATE TABLE posts (id bigint PRIMARY KEY, user_id bigint NOT NULL REFERENCES users (id) ON DELETE CASCADE, title text, body text, legacy_id int NOT NULL, CONSTRAINT title_key UNIQUE (title));
 CREATE TABLE gone (id int PRIMARY KEY, user_id bigint REFERENCES users(id)); COMMENT ON TABLE posts IS 'things written';
 CREATE TABLE readings (ts timestamptz NOT NULL, device_id text NOT NULL, value double precision, quality int);
 CREATE TABLE orders (id bigint, created_at timestamptz NOT NULL, total numeric(12,2)) PARTITION BY RANGE (created_at);

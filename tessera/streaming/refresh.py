@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.time import window_bucket
+from tessera.functions.time import bucket_window
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
@@ -26,7 +26,8 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 def bucketed(stream: DataFrame, ts: str, width: str, keys: Sequence[str], aggregates: Sequence[Column], late: str) -> DataFrame:
     """The aggregate of a stream, which waits ``late`` for rows that come late; state older than that is dropped."""
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    return timed.groupBy(window_bucket(width, ts).alias("bucket"), *keys).agg(*aggregates)
+    counted = timed.groupBy(bucket_window(width, ts).alias("_window"), *keys).agg(*aggregates)
+    return counted.select(F.col("_window.start").alias("bucket"), *(c for c in counted.columns if c != "_window"))
 
 
 def run_available(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
