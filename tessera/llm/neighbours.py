@@ -75,7 +75,7 @@ class Vectors:
             order = np.argsort(known)
             return x[order[np.searchsorted(known[order], wanted)]]
 
-        return groups.join(found, key), from_row
+        return groups.join(found, key, "left"), from_row
 
 
 def _best(owner: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
