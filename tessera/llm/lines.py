@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_SPACE, ascii_lower, hash128
+from tessera.llm.common import ASCII_SPACE, ascii_lower, cut, hash128
 
 
 def line_key(line: Column) -> Column:
@@ -33,7 +33,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, doc_id:
     h1, h2 = hash128(F.col("_key"))
     hashed = keys.filter(F.length("_key") >= min_chars).select("_id", "_row", "_at", h1.alias("_h1"), h2.alias("_h2"))
     holders = hashed.filter(F.col("_id").isNotNull()).select("_h1", "_h2", "_id").distinct()
-    repeated = holders.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.max("_id").alias("_last")).filter(F.col("_n") >= min_docs).drop("_n")
+    # stored, so that the join below takes it from a shuffle of its own, and Spark can split a hot line's partition
+    repeated = cut(holders.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.max("_id").alias("_last")).filter(F.col("_n") >= min_docs).drop("_n"))
     dropped = (
         hashed.join(repeated, ["_h1", "_h2"]).filter(~F.col("_id").eqNullSafe(F.col("_last")))
         .groupBy(F.col("_id").alias("_did"), F.col("_row").alias("_drow")).agg(F.collect_set("_at").alias("_gone"))
