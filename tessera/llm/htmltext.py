@@ -202,9 +202,10 @@ def infer(pages: list[str]) -> dict:
 def _main_path(wrapper: dict) -> list[str] | None:
     """The path to the element with most varying text outside of links and boilerplate; None where none has any.
 
-    An element is credited with the slots of its own paragraphs, not with those of nested containers.
+    An element is credited with the slots of its own paragraphs, not with those of nested containers. Elements that say
+    they are the article, or else the main part, come before any other.
     """
-    best: tuple[float, list[str]] | None = None
+    best: tuple[int, float, list[str]] | None = None
 
     def walk(g: dict, path: list[str], linked: bool) -> float:
         """What ``g`` gives to the element around it."""
@@ -219,13 +220,15 @@ def _main_path(wrapper: dict) -> list[str] | None:
         own = sum(walk(x, here, linked or g["tag"] == "a") for x in g["groups"]) * (3 if g.get("rep") else 1)
         if g["tag"] in CONTAINERS:
             named = any(m.startswith(n) for n in MAIN_NAMES for m in g["marks"])
-            if own and (best is None or own * (2 if named else 1) > best[0]):
-                best = (own * (2 if named else 1), here)
+            said = 2 if g["tag"] == "article" else 1 if g["tag"] == "main" or "role=main" in g["marks"] else 0
+            credit = (said, own * (2 if named else 1))
+            if (own or said) and (best is None or credit > best[:2]):
+                best = (*credit, here)
             return 0.25 * own
         return own
 
     walk(wrapper, [], False)
-    return best and best[1]
+    return best and best[2]
 
 
 CONTAINERS = frozenset("article body div main section td center #root".split())
@@ -245,25 +248,25 @@ def _find(e: Element, wanted) -> list[Element]:
 
 
 def _along(e: Element, path: list[str]) -> list[Element]:
+    """What the page has at a wrapper's path; hidden elements and boilerplate on the way are passed over."""
     level = [e]
     for sig in path[1:]:
-        level = [c for x in level for c in x.children if not isinstance(c, str) and c.signature == sig]
+        level = [c for x in level for c in x.children if not isinstance(c, str) and c.signature == sig and not is_boilerplate(c.tag, c.marks, c.hidden)]
     return level
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:
     """Main text: blocks in page order, one on each line, white space inside of them as one space.
 
-    The page's own ``article`` or ``main`` element counts first, then where the host's wrapper has the article, and the
-    whole body where the page has neither.
+    The page is read along the host's wrapper. Where it doesn't follow that, as a page of another layout or one that is
+    cut off, its own ``article`` or ``main`` element counts, and the whole body where it has neither.
     """
     if not page or not page.strip():
         return ""
     root = parse(page)
+    found = _along(root, wrapper["main"]) if wrapper and wrapper.get("main") else []
     # an article of comments is marked as such or stands inside of boilerplate
-    found = _find(root, lambda e: e.tag == "article" and not is_boilerplate("", e.marks, e.hidden)) or _find(root, lambda e: (e.tag == "main" or "role=main" in e.marks) and not e.hidden)
-    if not found and wrapper and wrapper.get("main"):
-        found = _along(root, wrapper["main"])
+    found = found or _find(root, lambda e: e.tag == "article" and not is_boilerplate("", e.marks, e.hidden)) or _find(root, lambda e: (e.tag == "main" or "role=main" in e.marks) and not e.hidden)
     found = found or [root]
     blocks: list[str] = []
     line: list[str] = []
