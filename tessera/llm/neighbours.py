@@ -26,6 +26,10 @@ BROADCAST_BYTES = 128 << 20
 #: Vectors compared with each other at once in the start; larger blocks are divided at random.
 BLOCK = 1024
 
+#: Vectors for each task. Rounds over few vectors are many short tasks otherwise, each with buffers of its own.
+TASK_VECTORS = 4096
+LEAST_TASKS = 8
+
 Resolve = Callable[[np.ndarray, pa.RecordBatch | None, int], np.ndarray]
 
 
@@ -48,12 +52,17 @@ class Vectors:
         rest = F.sqrt(F.greatest(F.lit(0.0), F.lit(m) - F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
         self.table = cut(nodes.select("id", F.concat("v", F.array(rest)).cast("array<float>").alias("x")))
         self.shared = None
+        self.table = self.dealt(self.table)
         if self.n * self.dim * 4 <= BROADCAST_BYTES:
             got = self.table.orderBy("id").toArrow()
             ids = got.column("id").to_numpy()
             x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, self.dim) if self.n else np.zeros((0, self.dim), np.float32)
             self.shared = spark.sparkContext.broadcast((ids, x))
 
+    def dealt(self, df: DataFrame) -> DataFrame:
+        """``df`` in as few tasks as the number of vectors needs; never in more than it has."""
+        return df.coalesce(max(LEAST_TASKS, -(-self.n // TASK_VECTORS)))
+
     def attached(self, groups: DataFrame, key: str, ids: Column) -> tuple[DataFrame, Resolve]:
         """``groups`` with what the function that is returned needs to give the vectors of a row's ``ids``, in their order."""
         if self.shared is not None:
@@ -102,7 +111,7 @@ def _lists(owner: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> p
 LISTS = "id bigint, to array<bigint>, score array<float>"
 
 
-def _merged(lists: DataFrame, k: int) -> DataFrame:
+def _merged(lists: DataFrame, k: int, vectors: Vectors) -> DataFrame:
     """One list of the ``k`` best for each id. Lists of one id come from tasks that have merged their own before."""
     gathered = lists.groupBy("id").agg(F.flatten(F.collect_list("to")).alias("to"), F.flatten(F.collect_list("score")).alias("score"))
 
@@ -112,7 +121,7 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
             owner = np.repeat(b.column("id").to_numpy(), np.diff(to.offsets.to_numpy()))
             yield _lists(owner, to.flatten().to_numpy(), score.flatten().to_numpy(), k)
 
-    return gathered.mapInArrow(run, LISTS)
+    return vectors.dealt(gathered).mapInArrow(run, LISTS)
 
 
 def _start(vectors: Vectors, k: int, rounds: int, seed: int) -> DataFrame:
@@ -147,7 +156,7 @@ def _start(vectors: Vectors, k: int, rounds: int, seed: int) -> DataFrame:
             found = [np.concatenate(p) for p in zip(*parts)]
         return pa.Table.from_batches([_lists(*found, k)])
 
-    return _merged(placed.select("id", "x", "round", "side", "part").groupBy("round", "side", "part").applyInArrow(compare, LISTS), k)
+    return _merged(placed.select("id", "x", "round", "side", "part").groupBy("round", "side", "part").applyInArrow(compare, LISTS), k, vectors)
 
 
 def _introduce(graph: DataFrame, before: DataFrame | None, vectors: Vectors, k: int, reverse: int, turn: int) -> DataFrame:
@@ -161,12 +170,13 @@ def _introduce(graph: DataFrame, before: DataFrame | None, vectors: Vectors, k:
         link = link.withColumn("new", F.lit(True))
     else:
         old = before.select("id", F.explode("to").alias("to")).withColumn("old", F.lit(True))
-        link = link.join(old, ["id", "to"], "left").select("id", "to", F.col("old").isNull().alias("new"))
+        link = vectors.dealt(link.join(old, ["id", "to"], "left")).select("id", "to", F.col("old").isNull().alias("new"))
     back = link.select(F.col("to").alias("node"), F.col("id").alias("member"), "new")
     back = back.withColumn("n", F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("member", F.lit(turn))))).filter(F.col("n") <= reverse).drop("n")
+    back = vectors.dealt(back)
     around = link.select(F.col("id").alias("node"), F.col("to").alias("member"), "new").unionByName(back)
     worst = graph.select(F.col("id").alias("member"), F.when(F.size("to") < k, F.lit(float("-inf"))).otherwise(F.array_min("score")).cast("float").alias("worst"))
-    groups = around.join(worst, "member").groupBy("node").agg(F.collect_list(F.struct("member", "new", "worst")).alias("m"))
+    groups = vectors.dealt(around.join(worst, "member")).groupBy("node").agg(F.collect_list(F.struct("member", "new", "worst")).alias("m"))
     groups, resolve = vectors.attached(groups, "node", F.col("m.member"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +195,7 @@ def _introduce(graph: DataFrame, before: DataFrame | None, vectors: Vectors, k:
             if found:
                 yield _lists(*(np.concatenate(p) for p in zip(*found)), k)
 
-    return _merged(graph.unionByName(groups.mapInArrow(run, LISTS)), k)
+    return _merged(graph.unionByName(vectors.dealt(groups).mapInArrow(run, LISTS)), k, vectors)
 
 
 def build(vectors: Vectors, k: int = 32, rounds: int = 8, turns: int = 3, reverse: int = 32, seed: int = 7) -> DataFrame:
@@ -222,12 +232,12 @@ def search(graph: DataFrame, vectors: Vectors, queries: DataFrame, beam: int = 2
     first = True
     while True:
         given, resolve = vectors.attached(state, "query", F.coalesce("more", F.array().cast("array<bigint>"))) if first or vectors.shared is not None else vectors.attached(state, "query", F.col("more"))
-        walked = cut(given.mapInArrow(step, schema))
+        walked = cut(vectors.dealt(given).mapInArrow(step, schema))
         first = False
         ahead = walked.select("query", F.explode("todo").alias("id"))
         if ahead.isEmpty():
             return walked.select("query", "ids", "scores")
-        near = ahead.join(graph.select("id", "to"), "id").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("more"))
+        near = vectors.dealt(ahead.join(graph.select("id", "to"), "id")).groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("more"))
         state = walked.select("query", "q", "ids", "scores").join(near, "query", "left")
 
 
