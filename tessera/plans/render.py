@@ -119,6 +119,8 @@ def sequence_sql(row: Row, verb: str = "CREATE") -> str:
 
 
 def type_sql(row: Row) -> str:
+    if row["kind"] == "domain":
+        return f"CREATE DOMAIN {_own(row)} AS {row['definition']};"
     return f"CREATE TYPE {_own(row)} AS ENUM ({', '.join(map(literal, row['labels']))});" if row["kind"] == "enum" else f"CREATE TYPE {_own(row)} AS {row['definition']};"
 
 
@@ -136,7 +138,7 @@ def _refresh_sql(row: Row) -> str:
 _OBJECTS = {
     "SCHEMA": ("schemas", lambda r, c, g: f"CREATE SCHEMA {_if(g, False)}{quote(r['name'])};", lambda r, c, g: f"DROP SCHEMA {_if(g, True)}{quote(r['name'])} CASCADE;"),
     "EXTENSION": ("extensions", lambda r, c, g: f"CREATE EXTENSION {_if(g, False)}{quote(r['name'])}" + (f" SCHEMA {quote(r['schema'])}" if r["schema"] else "") + (f" VERSION {literal(r['version'])}" if r["version"] else "") + ";", lambda r, c, g: f"DROP EXTENSION {_if(g, True)}{quote(r['name'])} CASCADE;"),
-    "CUSTOM_TYPE": ("types", lambda r, c, g: type_sql(r), lambda r, c, g: f"DROP TYPE {_if(g, True)}{_own(r)} CASCADE;"),
+    "CUSTOM_TYPE": ("types", lambda r, c, g: type_sql(r), lambda r, c, g: f"DROP {'DOMAIN' if r['kind'] == 'domain' else 'TYPE'} {_if(g, True)}{_own(r)} CASCADE;"),
     "SEQUENCE": ("sequences", lambda r, c, g: sequence_sql(r), lambda r, c, g: f"DROP SEQUENCE {_if(g, True)}{_own(r)} CASCADE;"),
     "TABLE": ("tables", table_sql, lambda r, c, g: f"DROP TABLE {_if(g, True)}{_own(r)} CASCADE;"),
     "PARTITION": ("partitions", lambda r, c, g: f"CREATE TABLE {_if(g, False)}{_own(r)} PARTITION OF {qualified(r['parent'])} {r['bounds']};", lambda r, c, g: f"DROP TABLE {_if(g, True)}{_own(r)};"),

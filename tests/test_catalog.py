@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import pytest
 
+from tessera.__main__ import main
 from tessera.functions.canonical import canonical, sources
 from tessera.operators import diff as D
 from tessera.operators.ordering import CycleError, components, topological
 from tessera.plans import migrate
-from tessera.plans.render import down, quote, up
+from tessera.plans.render import down, quote, type_sql, up
 from tessera.queries.fixtures import CURRENT, current, desired
 from tessera.sources.catalog import Catalog, extract_tables, read_directory, read_json, write_json
 from tessera.sources.ddl import parse, parse_all
@@ -154,3 +155,21 @@ def test_catalog_files(spark, tmp_path, sf_dir):
     catalog, errors = parse_all(read_directory(spark, str(tmp_path / "d")))
     assert {t["name"] for t in catalog.rows["tables"]} == {"a", "b"} and not errors
     assert extract_tables({"events": spark.read.parquet(f"{sf_dir}/events.parquet")}).find("columns", name="ts")["type"] == "timestamp without time zone"
+
+
+def test_domains():
+    c = parse("CREATE DOMAIN app.email AS text CHECK (VALUE ~ '@')")
+    assert c.rows["types"][0]["kind"] == "domain" and type_sql(c.rows["types"][0]) == "CREATE DOMAIN app.email AS text CHECK (VALUE ~ '@');"
+
+
+def test_command_line(spark, tmp_path, capsys, sf_dir, monkeypatch):
+    monkeypatch.setattr("tessera.__main__.session", lambda: spark)
+    (tmp_path / "sql").mkdir()
+    (tmp_path / "sql" / "a.sql").write_text("CREATE TABLE nation (n_nationkey integer, n_name text, n_regionkey integer, note text); DO $$ $$;")
+    assert main(["extract", f"{sf_dir}/nation.parquet", "--output", str(tmp_path / "c.json")]) == 0
+    both = ["--current", str(tmp_path / "c.json"), "--desired", str(tmp_path / "sql")]
+    assert main(["diff", *both]) == 0 and "ADD_COLUMN" in capsys.readouterr().out
+    for version in ("000001", "000002"):
+        assert main(["generate", *both, "--output", str(tmp_path / "m")]) == 0
+        assert capsys.readouterr().out.startswith(f"{version}_add_column_nation_note.up.sql")
+    assert main(["partition", "t", "--modulus", "2"]) == 0 and capsys.readouterr().out.count("REMAINDER") == 2
