@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,7 +158,13 @@ def flat_rows(catalog: Catalog, entity: str) -> list[tuple]:
 
 def flat_frame(spark: SparkSession, catalog: Catalog, entity: str) -> DataFrame:
     """The flat rows in one partition: they come from the driver, so they are few, and need no shuffle to be compared."""
-    return spark.createDataFrame(flat_rows(catalog, entity), ", ".join(f"`{n}` {t}" for n, t in flat_schema(entity))).coalesce(1)
+    schema = flat_schema(entity)
+    rows = flat_rows(catalog, entity)
+    table = pa.table([pa.array([r[i] for r in rows], _ARROW[t]) for i, (_, t) in enumerate(schema)], [n for n, _ in schema])
+    return spark.createDataFrame(table).coalesce(1)
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
 
 def _names(kind: Kind, side: str) -> tuple[str, str]:
