@@ -8,13 +8,16 @@ too large for pairwise verification is resolved by midpoints instead, which is e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, written
@@ -26,6 +29,11 @@ SEED = 42
 SAMPLE_ROWS = 20_000
 #: Up to so many fingerprints in one bucket are compared pairwise, above it midpoints are used. Both ways are exact.
 PAIRWISE_BUCKET = 64
+#: Rows of an Arrow batch while texts are paired; 10,000 pairs of sets would be 50 MB and more.
+BATCH_ROWS = 1_000
+#: A shingle that COMMON_TEXTS of about COMMON_SAMPLE texts have is looked up last, at most COMMON_SHINGLES are.
+#: They tell the order of shingles only, so results don't depend on them.
+COMMON_SAMPLE, COMMON_TEXTS, COMMON_SHINGLES = 8_000, 4, 100_000
 
 
 _BYTES = np.uint64(0x0101010101010101)
@@ -245,27 +253,116 @@ def fingerprint_components(docs: DataFrame, width: int = 3, radius: int = 2, doc
 # ---- near-duplicates by verified similarity
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """While it holds, Arrow batches have at most so many rows: those of verified pairs hold two whole sets in each row."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles that many sampled texts have, and how many. Results don't depend on the sample."""
+    total = rows.count()
+    million = 1_000_000
+    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < math.ceil(million * min(1.0, COMMON_SAMPLE / max(1, total))))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in _texts(b, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(words_of(t.as_py()), width)).view(np.int64))], ["h"])
+
+    counts = some.mapInArrow(sets, "h bigint").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_TEXTS)
+    got = counts.orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).toArrow()
+    h, n = (got.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
+
+
+def rare_shingles(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first ``n - ceil(similarity * n) + 1`` of the ``n`` distinct, sorted ``hashes``, in an order that all texts share:
+    those that aren't common first. Two sets that are similar enough have at least one of them in common."""
+    if not len(hashes):
+        return hashes
+    known, counts = common
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        weight = np.where(known[at] == hashes, counts[at], 0)
+        hashes = hashes[np.lexsort((hashes, weight))]
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
+def sharing_rare(distinct: DataFrame) -> DataFrame:
+    """(key, rep, n, pos): each text's rare shingles that another text has, too, with the size of its set and their places."""
+    each = distinct.select("rep", "n", F.posexplode("rare").alias("pos", "key"))
+    of_key = W.partitionBy("key")
+    both = each.withColumns({"lo": F.min("rep").over(of_key), "hi": F.max("rep").over(of_key)}).filter("lo < hi")
+    return written(both.select("key", "rep", "n", "pos"))
+
+
+def _may_be_similar(x: str, y: str, similarity: float) -> Column:
+    """False only where (key, n, pos) of two sets tell that they aren't similar or that this isn't their first common key:
+    beyond it they share at most what follows in both."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    most = 1 + F.least(n - F.col(f"{x}.pos") - 1, m - F.col(f"{y}.pos") - 1)
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (most * (1 + similarity) >= similarity * (n + m) - 1e-9)
+
+
+def unlinked_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of texts with a rare shingle in common that may be similar and aren't linked by ``roots`` yet."""
+    rooted = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    of_key = W.partitionBy("key")
+    mixed = rooted.withColumns({"lo": F.min("root").over(of_key), "hi": F.max("root").over(of_key)}).filter("lo < hi").drop("lo", "hi")
+    mixed = written(mixed)
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _may_be_similar("x", "y", similarity)
+    return mixed.alias("x").join(mixed.alias("y"), on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 12, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, group_id) for each row of ``docs``: exact copies and near copies share the least id among them.
 
-    Copies with the same words are one node. Candidates are nodes whose word-set fingerprints of the same band are within
-    ``radius`` bits; of those, a pair counts whose sets of ``width``-word shingles have a Jaccard similarity of at least
-    ``similarity``, computed on the whole sets. Texts with no words are copies of one another; a null text is empty.
+    Copies with the same words are one node. A pair of nodes counts whose sets of ``width``-word shingles have a Jaccard
+    similarity of at least ``similarity``, computed on the whole sets. The first candidates are nodes whose word-set
+    fingerprints of the same band are within ``radius`` bits, through one representative of each fingerprint. That links
+    most copies but not all, so then all pairs that aren't linked yet and share a rare shingle are verified, too. As
+    similar sets must share one, the groups are exact. Texts with no words are copies of one another; a null text is empty.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    with small_batches(docs.sparkSession):
+        common = common_shingles(rows, width)
+
+        def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                same, prints, sizes, rare = [], [], [], []
+                for t in _texts(b, "text"):
+                    words = words_of(t.as_py())
+                    hashes = np.unique(shingle_hashes(words, width))
+                    same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    prints.append(word_set_fingerprints(words, bands).view(np.int64))
+                    sizes.append(len(hashes))
+                    rare.append(rare_shingles(hashes, common, similarity).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "node", "prints", "n", "rare"]
+                )
+
+        kind = docs.schema[doc_id].dataType.simpleString()
+        nodes = written(rows.mapInArrow(sketch, f"doc_id {kind}, node binary, prints array<bigint>, n int, rare array<bigint>"))
+        distinct = written(nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("prints").alias("prints"), F.any_value("n").alias("n"), F.any_value("rare").alias("rare")))
+        good = cut(similar(rows, same_band_pairs(distinct, radius), width, similarity))
+        roots = connected_components(good)
+        more = cut(unlinked_pairs(sharing_rare(distinct), roots, similarity))
+        good = good.unionByName(similar(rows, more, width, similarity))
+        roots = connected_components(good).withColumnRenamed("node", "rep")
+    classed = distinct.select("node", "rep").join(roots, "rep", "left").select("node", F.coalesce("root", "rep").alias("group_id"))
+    return nodes.select("doc_id", "node").join(classed, "node").select("doc_id", "group_id")
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            same, prints = [], []
-            for t in _texts(b, "text"):
-                words = words_of(t.as_py())
-                same.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                prints.append(word_set_fingerprints(words, bands).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], ["doc_id", "node", "prints"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    nodes = written(rows.mapInArrow(sketch, f"doc_id {kind}, node binary, prints array<bigint>"))
-    distinct = nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("prints").alias("prints"))
+
+def same_band_pairs(distinct: DataFrame, radius: int) -> DataFrame:
+    """(a, b): candidates by the fingerprints of ``prints``, through representatives, so linear in a group's size."""
     banded = distinct.select("rep", F.posexplode("prints").alias("band", "fp"))
     # one representative for each fingerprint; the other nodes that have it are candidates with that one
     firsts = cut(banded.groupBy("band", "fp").agg(F.min("rep").alias("first")))
@@ -276,11 +373,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
         .join(firsts.select("band", F.col("fp").alias("b"), F.col("first").alias("y")), ["band", "b"])
         .filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     )
-    pairs = cut(same_print.unionByName(near).distinct())
-    good = similar(rows, pairs, width, similarity)
-    roots = connected_components(good).withColumnRenamed("node", "rep")
-    classed = distinct.select("node", "rep").join(roots, "rep", "left").select("node", F.coalesce("root", "rep").alias("group_id"))
-    return nodes.select("doc_id", "node").join(classed, "node").select("doc_id", "group_id")
+    return cut(same_print.unionByName(near).distinct())
 
 
 def similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:

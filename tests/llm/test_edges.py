@@ -211,6 +211,33 @@ def test_near_copies(spark):
     assert simhash.near_duplicate_groups(docs(spark)).count() == 0
 
 
+def jaccard_groups(texts, width=5):
+    """The least id that each text is linked with by pairs of at least 0.8, by comparing all whole shingle sets."""
+    words = {i: t.lower().split() for i, t in texts}
+    sets = {i: {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} for i, w in words.items()}
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((group[a], group[b]))
+                group = {i: x if g == y else g for i, g in group.items()}
+    return group
+
+
+def test_appended_and_cut_off_copies(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"word{k}" for k in range(3000)]
+    texts = []
+    for i in range(40):
+        base, other = (rnd.choices(vocabulary, k=rnd.randrange(80, 400)) for _ in range(2))
+        n = len(base)
+        kinds = [base + other[: n // 20], base + other[: n // 10], base + other[: n // 5], base[: -(n // 10)], base[: -(n // 5)], base[n // 6 :], base[n // 3 :]]
+        texts += [(100 * i, " ".join(base)), (100 * i + 1, " ".join(kinds[i % len(kinds)]))]
+    want = jaccard_groups(texts)
+    assert len(set(want.values())) < 60
+    assert {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(docs(spark, *texts)).collect()} == want
+
+
 # ---- substrings
 
 
