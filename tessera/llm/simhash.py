@@ -31,6 +31,8 @@ SAMPLE_ROWS = 20_000
 PAIRWISE_BUCKET = 64
 #: Rows of an Arrow batch while texts are paired; 10,000 pairs of sets would be 50 MB and more.
 BATCH_ROWS = 1_000
+#: The ids of so many pairs at most are broadcast, beyond it the texts are shuffled to them.
+BROADCAST_PAIRS = 1 << 20
 #: A shingle that COMMON_TEXTS of about COMMON_SAMPLE texts have is looked up last, at most COMMON_SHINGLES are.
 #: They tell the order of shingles only, so results don't depend on them.
 COMMON_SAMPLE, COMMON_TEXTS, COMMON_SHINGLES = 8_000, 4, 100_000
@@ -312,12 +314,18 @@ def _may_be_similar(x: str, y: str, similarity: float) -> Column:
     return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (most * (1 + similarity) >= similarity * (n + m) - 1e-9)
 
 
+def star_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): one text of each rare shingle, another for each shingle, with the others that may be similar to it."""
+    one = shared.groupBy("key").agg(F.min_by(F.struct("rep", "n", "pos"), F.xxhash64("key", "rep")).alias("c")).select("key", "c.*")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & _may_be_similar("x", "y", similarity)
+    return shared.alias("x").join(one.alias("y"), on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def unlinked_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all pairs of texts with a rare shingle in common that may be similar and aren't linked by ``roots`` yet."""
     rooted = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     of_key = W.partitionBy("key")
     mixed = rooted.withColumns({"lo": F.min("root").over(of_key), "hi": F.max("root").over(of_key)}).filter("lo < hi").drop("lo", "hi")
-    mixed = written(mixed)
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _may_be_similar("x", "y", similarity)
     return mixed.alias("x").join(mixed.alias("y"), on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
@@ -327,9 +335,9 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
 
     Copies with the same words are one node. A pair of nodes counts whose sets of ``width``-word shingles have a Jaccard
     similarity of at least ``similarity``, computed on the whole sets. The first candidates are nodes whose word-set
-    fingerprints of the same band are within ``radius`` bits, through one representative of each fingerprint. That links
-    most copies but not all, so then all pairs that aren't linked yet and share a rare shingle are verified, too. As
-    similar sets must share one, the groups are exact. Texts with no words are copies of one another; a null text is empty.
+    fingerprints of the same band are within ``radius`` bits, and those that share a rare shingle, each with one
+    representative of the fingerprint or the shingle. Then all pairs that share a rare shingle and aren't linked yet are
+    verified, too. As similar sets must share one, the groups are exact. Texts with no words are copies of one another; a null text is empty.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     with small_batches(docs.sparkSession):
@@ -352,11 +360,15 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
         kind = docs.schema[doc_id].dataType.simpleString()
         nodes = written(rows.mapInArrow(sketch, f"doc_id {kind}, node binary, prints array<bigint>, n int, rare array<bigint>"))
         distinct = written(nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("prints").alias("prints"), F.any_value("n").alias("n"), F.any_value("rare").alias("rare")))
-        good = cut(similar(rows, same_band_pairs(distinct, radius), width, similarity))
+        shared = sharing_rare(distinct)
+        # representatives first, so that the members of a large group aren't all paired with all
+        first = cut(same_band_pairs(distinct, radius).unionByName(star_pairs(shared, similarity)).distinct())
+        good = cut(similar(rows, first, width, similarity))
         roots = connected_components(good)
-        more = cut(unlinked_pairs(sharing_rare(distinct), roots, similarity))
-        good = good.unionByName(similar(rows, more, width, similarity))
-        roots = connected_components(good).withColumnRenamed("node", "rep")
+        more = cut(unlinked_pairs(shared, roots, similarity))
+        if not more.isEmpty():
+            roots = connected_components(good.unionByName(similar(rows, more, width, similarity)))
+        roots = roots.withColumnRenamed("node", "rep")
     classed = distinct.select("node", "rep").join(roots, "rep", "left").select("node", F.coalesce("root", "rep").alias("group_id"))
     return nodes.select("doc_id", "node").join(classed, "node").select("doc_id", "group_id")
 
@@ -373,7 +385,7 @@ def same_band_pairs(distinct: DataFrame, radius: int) -> DataFrame:
         .join(firsts.select("band", F.col("fp").alias("b"), F.col("first").alias("y")), ["band", "b"])
         .filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     )
-    return cut(same_print.unionByName(near).distinct())
+    return same_print.unionByName(near)
 
 
 def similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -386,8 +398,11 @@ def similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) ->
             got = [np.unique(shingle_hashes(words_of(t.as_py()), width)).view(np.int64) for t in _texts(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "hashes"])
 
-    hashed = rows.join(needed, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, hashes array<bigint>").dropDuplicates(["doc_id"])
-    hashed = written(hashed)
+    # texts and sets are far larger than ids, so they aren't shuffled for the sake of those
+    needed = F.broadcast(needed) if pairs.count() <= BROADCAST_PAIRS else needed
+    hashed = written(rows.join(needed, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, hashes array<bigint>"))
+    if not hashed.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        hashed = hashed.dropDuplicates(["doc_id"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

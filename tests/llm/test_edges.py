@@ -238,6 +238,20 @@ def test_appended_and_cut_off_copies(spark):
     assert {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(docs(spark, *texts)).collect()} == want
 
 
+@pytest.mark.parametrize("copies", [1, 80])
+def test_copies_that_their_representative_rejects(spark, copies):
+    # one set of words, so one fingerprint in all bands; the least id is similar to none of the others
+    rnd = random.Random(9)
+    parts = [[f"part{k}word{j}" for j in range(12)] for k in range(30)]
+    text = lambda order: " ".join(w for k in order for w in parts[k])
+    mixed = rnd.sample(range(30), 30)
+    swapped = [[*mixed[:k], mixed[k + 1], mixed[k], *mixed[k + 2 :]] for k in rnd.choices(range(29), k=copies)]
+    texts = list(enumerate([text(range(30)), text(mixed), *map(text, swapped)]))
+    want = jaccard_groups(texts)
+    assert want[0] == 0 and set(want.values()) == {0, 1}
+    assert {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(docs(spark, *texts)).collect()} == want
+
+
 # ---- substrings
 
 
