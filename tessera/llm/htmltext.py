@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, written
 
 #: Pages of a host that its wrapper is inferred from: those with the least hash of url and id.
 SAMPLE_PAGES = 12
 #: Groups that a wrapper holds at one level; an article's many paragraphs are one repeated group, so this is never reached by layout.
 LEVEL_GROUPS = 64
 
+#: Layouts of a host that wrappers are inferred for, one in each round over the pages that follow none yet.
+LAYOUTS = 16
 #: Wrappers are broadcast up to so many bytes of them.
 BROADCAST_BYTES = 32 << 20
 
@@ -196,7 +198,34 @@ def infer(pages: list[str]) -> dict:
         wrapper = one if wrapper is None else _merge(wrapper, one)
     if wrapper is None:
         return {"main": None}
-    return {"main": _main_path(wrapper)}
+    main = _main_path(wrapper)
+    return {"main": main, "beside": _beside(wrapper, main)}
+
+
+def _varying(g: dict) -> int:
+    """The size of the varying text in a group, outside of links and boilerplate."""
+    if g["sig"] == "#text":
+        return _size(g) if g["const"] is None else 0
+    if g["sig"] != "#seq" and (g["tag"] == "a" or is_boilerplate(g["tag"], g["marks"], g["hidden"])):
+        return 0
+    return sum(map(_varying, g["groups"]))
+
+
+def _beside(wrapper: dict, main: list[str] | None) -> list[str]:
+    """Signatures of containers next to the main one whose text varies, too: an article may lie in several."""
+    if not main or len(main) < 2 or main[-1].split(".")[0] in ("article", "main"):
+        return []
+    level = [wrapper]
+    for sig in main[1:-1]:
+        level = [x for g in level for x in _inside(g) if x["sig"] == sig]
+    near = [x for g in level for x in _inside(g) if x.get("tag") in CONTAINERS]
+    least = 0.25 * max((_varying(x) for x in near if x["sig"] == main[-1]), default=0)
+    return sorted({x["sig"] for x in near if x["sig"] != main[-1] and _varying(x) > least})
+
+
+def _inside(g: dict) -> list[dict]:
+    """The groups of a level, those of repeated sequences included."""
+    return [y for x in g.get("groups", []) for y in (_inside(x) if x["sig"] == "#seq" else [x])]
 
 
 def _main_path(wrapper: dict) -> list[str] | None:
@@ -247,12 +276,28 @@ def _find(e: Element, wanted) -> list[Element]:
     return out
 
 
-def _along(e: Element, path: list[str]) -> list[Element]:
+def _along(e: Element, wrapper: dict) -> list[Element]:
     """What the page has at a wrapper's path; hidden elements and boilerplate on the way are passed over."""
-    level = [e]
-    for sig in path[1:]:
-        level = [c for x in level for c in x.children if not isinstance(c, str) and c.signature == sig and not is_boilerplate(c.tag, c.marks, c.hidden)]
-    return level
+    path, level = wrapper["main"], [e]
+    for k, sig in enumerate(path[1:], 2):
+        wanted = {sig, *wrapper.get("beside", ())} if k == len(path) else {sig}
+        level = [c for x in level for c in x.children if not isinstance(c, str) and c.signature in wanted and not is_boilerplate(c.tag, c.marks, c.hidden)]
+    return level if len(path) < 2 or any(x.signature == path[-1] for x in level) else []
+
+
+def _article(root: Element, wrapper: dict | None) -> list[Element]:
+    """Where a page has its article: along its host's wrapper, or that of another layout, or by its own elements."""
+    while wrapper:
+        if wrapper.get("main") and (found := _along(root, wrapper)):
+            return found
+        wrapper = wrapper.get("next")
+    # an article of comments is marked as such or stands inside of boilerplate
+    return _find(root, lambda e: e.tag == "article" and not is_boilerplate("", e.marks, e.hidden)) or _find(root, lambda e: (e.tag == "main" or "role=main" in e.marks) and not e.hidden)
+
+
+def follows(page: str | None, wrapper: dict | None) -> bool:
+    """False for a page that would be taken whole."""
+    return not page or not page.strip() or bool(_article(parse(page), wrapper))
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:
@@ -264,10 +309,7 @@ def extract(page: str | None, wrapper: dict | None) -> str:
     if not page or not page.strip():
         return ""
     root = parse(page)
-    found = _along(root, wrapper["main"]) if wrapper and wrapper.get("main") else []
-    # an article of comments is marked as such or stands inside of boilerplate
-    found = found or _find(root, lambda e: e.tag == "article" and not is_boilerplate("", e.marks, e.hidden)) or _find(root, lambda e: (e.tag == "main" or "role=main" in e.marks) and not e.hidden)
-    found = found or [root]
+    found = _article(root, wrapper) or [root]
     blocks: list[str] = []
     line: list[str] = []
 
@@ -313,7 +355,14 @@ def infer_wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, page_id:
     The sample has at most ``sample_pages`` pages of a host, which bounds what one task gets however many pages the
     host has: Spark keeps that many of each host in every task before anything is shuffled.
     """
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(url, page_id).alias("order"), F.col(markup).alias("html")).filter(F.col("html").isNotNull())
+    return _inferred(_hosted(pages, page_id, url, markup), sample_pages)
+
+
+def _hosted(pages: DataFrame, page_id: str, url: str, markup: str) -> DataFrame:
+    return pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(url, page_id).alias("order"), F.col(markup).alias("html")).filter(F.col("html").isNotNull())
+
+
+def _inferred(rows: DataFrame, sample_pages: int) -> DataFrame:
     first = rows.withColumn("n", F.row_number().over(W.partitionBy("host").orderBy("order"))).filter(F.col("n") <= sample_pages)
 
     def run(key, table):
@@ -323,16 +372,55 @@ def infer_wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, page_id:
     return first.select("host", "order", "html").groupBy("host").applyInArrow(run, "host string, wrapper string")
 
 
+def _broadcast(wrappers: DataFrame) -> DataFrame:
+    """Wrappers are short paths; where there are too many hosts to send them all, pages are shuffled by host."""
+    size = wrappers.agg(F.coalesce(F.sum(F.octet_length("_host") + F.octet_length("_wrapper")), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
+
+
+def all_wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, page_id: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
+    """(host, wrapper): like ``infer_wrappers``, with further layouts of a host as ``next``.
+
+    Every page is tried. Those that follow no wrapper of their host and have no article by themselves give samples of their
+    own, so that a layout is learnt however few pages have it, until all are followed or no layout is found any more.
+    """
+    rest = _hosted(pages, page_id, url, markup)
+    wrappers = cut(_inferred(rest, sample_pages))
+    for _ in range(LAYOUTS - 1):
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                known = {w: json.loads(w) for w in set(b.column("wrapper").to_pylist()) if w}
+                lost = [not follows(page.as_py(), known.get(w.as_py())) for page, w in zip(b.column("html"), b.column("wrapper"))]
+                yield b.select(["host", "order", "html"]).filter(pa.array(lost, pa.bool_()))
+
+        own = _broadcast(wrappers.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper")))
+        joined = rest.join(own, F.col("host") == F.col("_host"), "left").select("host", "order", "html", F.col("_wrapper").alias("wrapper"))
+        rest = written(joined.mapInArrow(run, "host string, order bigint, html string"))
+        more = cut(_inferred(rest, sample_pages).filter(F.get_json_object("wrapper", "$.main").isNotNull()).withColumnRenamed("wrapper", "more"))
+        if more.isEmpty():
+            return wrappers
+        # an earlier layout goes before a later one
+        chained = F.udf(_chain, "string")
+        wrappers = cut(wrappers.join(more, "host", "left").select("host", F.when(F.col("more").isNull(), F.col("wrapper")).otherwise(chained("wrapper", "more")).alias("wrapper")))
+    return wrappers
+
+
+def _chain(wrapper: str, more: str) -> str:
+    first = last = json.loads(wrapper)
+    while last.get("next"):
+        last = last["next"]
+    last["next"] = json.loads(more)
+    return json.dumps(first)
+
+
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html", out: str = "text", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """``pages`` with the main text of each in ``out``; a null or empty page has an empty text, so has one without any.
 
     Every row gives a row. A column named like ``out`` is replaced. Broken and deeply nested markup is read as far as
     it goes, and whole pages are, whatever their length.
     """
-    wrappers = cut(infer_wrappers(pages, sample_pages, page_id, url, markup).select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper")))
-    size = wrappers.agg(F.coalesce(F.sum(F.octet_length("_host") + F.octet_length("_wrapper")), F.lit(0)).alias("n")).first()["n"]
-    # a wrapper is a short path; where there are too many hosts to send them all, pages are shuffled by host
-    wrappers = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
+    wrappers = _broadcast(all_wrappers(pages, sample_pages, page_id, url, markup).select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper")))
     kept = [c for c in pages.columns if c != out]
     joined = pages.select(*kept, F.col(markup).alias("_html"), host_of(F.col(url)).alias("_of")).join(wrappers, F.col("_of") == F.col("_host"), "left").select(*kept, "_html", "_wrapper")
     schema = pages.select(*kept, F.lit("").alias(out)).schema

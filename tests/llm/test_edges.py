@@ -154,6 +154,20 @@ def test_pages_in_tables(spark):
     assert sorted(len(r.text) for r in got) == [0, 1, 1, 1, 399_999] and extract_text(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_every_layout_of_a_host_is_learnt(spark):
+    menu = "<div class=top-x>Home and more</div>"
+    kinds = ["<body>{m}<div class=one><p>{t}</div>", "<body>{m}<section class=two><p>{t}</section>", "<body>{m}<td id=three><p>{t}"]
+    rows = [(i, "http://h.example/x", kinds[0 if i < 300 else 1 if i < 304 else 2].format(m=menu, t=f"text{i} " * (20 + i % 7))) for i in range(307)]
+    got = extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert all(r.text == " ".join([f"text{r.page_id}"] * (20 + r.page_id % 7)) for r in got)
+
+
+def test_an_article_in_sibling_containers():
+    pages = [f"<body><div class=top-x>Home</div><div class=lead><p>{'lead' + str(i)} {'a ' * 20}</div><div class=rest><p>{'rest' + str(i)} {'b ' * 40}</div>" for i in range(5)]
+    got = extract(pages[2], infer(pages)).split("\n")
+    assert [x.split()[0] for x in got] == ["lead2", "rest2"]
+
+
 # ---- near duplicates
 
 
