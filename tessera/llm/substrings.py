@@ -181,7 +181,8 @@ class SubstringIndex:
         """(anchor, whole, n, bit, h1, h2): the windows of one stretch of each kind, hashed from its document."""
         window = self.window
         wanted = stretches_.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "whole", "n", "first", "more")).alias("wanted"))
-        texts = self._texts().join(wanted, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("packed", "wanted")
+        wanted = wanted.withColumnsRenamed({"doc_id": "_id", "row": "_row"})
+        texts = self._texts().join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))).dropDuplicates(["doc_id", "row"]).select("packed", "wanted")
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             z = zstandard.ZstdDecompressor()

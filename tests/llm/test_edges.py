@@ -295,6 +295,13 @@ def test_substrings_against_brute_force(spark, seed):
     assert [got[i] for i in range(len(texts))] == brute(texts, 35)
 
 
+def test_substrings_of_a_null_id(spark):
+    passage = [f"p{k}" for k in range(50)]
+    texts = [" ".join([*(f"a{i}x{k}" for k in range(30)), *passage, *(f"b{i}x{k}" for k in range(30))]) for i in range(4)]
+    got = {r.doc_id: r.text for r in substrings.remove_repeats(docs(spark, *zip([None, 1, 2, 3], texts))).collect()}
+    assert [got[i] for i in (None, 1, 2, 3)] == brute(texts, 35)
+
+
 def test_substrings_rows_and_runs(spark):
     got = substrings.remove_repeats(docs(spark, (1, LONG), (1, LONG), (None, "x y"), (2, "x y"))).collect()
     assert sorted((r.n_words, r.n_removed) for r in got) == [(2, 0), (2, 0), (60_000, 60_000), (60_000, 60_000)]
