@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows and bytes of an Arrow batch of whole texts.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 #: The six white-space characters of ASCII, as the contracts name them.
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 
@@ -29,6 +32,27 @@ def hash128(value: Column) -> list[Column]:
     return [F.xxhash64(value), F.xxhash64(F.lit(0x5EED), value)]
 
 
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> dict[str, str | None]:
+    """From now on Arrow batches have at most so many rows, and ``BATCH_BYTES`` bytes where Spark knows that bound, for whole
+    texts go through them; gives what held before. Results don't depend on it."""
+    now = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in now}
+    for k, v in now.items():
+        spark.conf.set(k, v)
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """``bounded_batches`` while it holds."""
+    before = bounded_batches(spark, rows)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -109,4 +109,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     """``docs`` without the contaminated rows, all columns as they were."""
     found = contamination(docs, items, window, doc_id, text).filter(is_contaminated(F.col("n_hit"), F.col("n_words"), share))
     bad = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_row")), "left_anti")
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == bad["_row"]), "left_anti")

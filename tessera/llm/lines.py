@@ -40,8 +40,11 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, doc_id:
         .groupBy(F.col("_id").alias("_did"), F.col("_row").alias("_drow")).agg(F.collect_set("_at").alias("_gone"))
     )
     lined = docs.select(*kept, F.xxhash64(content).alias("_row"))
-    joined = lined.join(dropped, F.col(doc_id).eqNullSafe(F.col("_did")) & (F.col("_row") == F.col("_drow")), "left")
-    lines = F.split(content, "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))
-    joined = joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), content).otherwise(F.array_join(left, "\n"))).select(*kept, "n_lines", "n_dropped")
+    joined = lined.join(dropped, lined[doc_id].eqNullSafe(dropped["_did"]) & (lined["_row"] == dropped["_drow"]), "left")
+    # the array of lines is bound once by the outer function, so that each line is reached in one step
+    at = F.col("_gone")
+    kept_of = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), at), lambda i: F.get(ls, i)), "\n")
+    left = F.get(F.transform(F.array(F.split(content, "\n", -1)), kept_of), F.lit(0))
+    n_lines = F.octet_length(content) - F.octet_length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
+    joined = joined.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
+    return joined.withColumn(text, F.when(at.isNull(), content).otherwise(left)).select(*kept, "n_lines", "n_dropped")

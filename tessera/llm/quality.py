@@ -26,7 +26,7 @@ SAMPLE_ROWS = 8_000
 #: A word counts if at least so many of the sample's texts have it; a word of one or two texts says nothing.
 MIN_TEXTS = 8
 #: Tokens whose features a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 SHAPE_SCALE = 8.0
 
 _known: dict[str, tuple[int, int]] = {}

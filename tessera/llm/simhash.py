@@ -10,17 +10,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, written
+from tessera.llm.common import cut, small_batches, written
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -29,33 +27,33 @@ SEED = 42
 SAMPLE_ROWS = 20_000
 #: Up to so many fingerprints in one bucket are compared pairwise, above it midpoints are used. Both ways are exact.
 PAIRWISE_BUCKET = 64
-#: Rows of an Arrow batch while texts are paired; 10,000 pairs of sets would be 50 MB and more.
-BATCH_ROWS = 1_000
-#: The ids of so many pairs at most are broadcast, beyond it the texts are shuffled to them.
-BROADCAST_PAIRS = 1 << 20
+#: One more rare shingle that similar texts share for so many shingles of a text.
+SHARED_OF = 20
+#: Rows of an Arrow batch while texts are read for their shingles, and bytes of sets that are handed on at once.
+BATCH_ROWS, SET_BYTES = 1_000, 4 << 20
+#: Hashes of words, for all bands of a text together, that are looked at at once.
+WORDS_AT_ONCE = 1 << 16
+#: So many rows of ids and hashes at most are broadcast, beyond it the join with them is shuffled.
+BROADCAST_ROWS = 1 << 20
 #: A shingle that COMMON_TEXTS of about COMMON_SAMPLE texts have is looked up last, at most COMMON_SHINGLES are.
 #: They tell the order of shingles only, so results don't depend on them.
 COMMON_SAMPLE, COMMON_TEXTS, COMMON_SHINGLES = 8_000, 4, 100_000
 
 
-_BYTES = np.uint64(0x0101010101010101)
-
 
 def majority(hashes: np.ndarray) -> np.ndarray:
     """For each row of 64-bit hashes the value whose bits are those that more than half of the row's hashes have set.
 
-    Counts eight bits at a time, one in each byte of a word, over blocks of 255 hashes so that no byte overflows.
+    Bits are counted in bytes over blocks of 255 hashes, so that no byte overflows; long rows take a block of blocks at once.
     """
     rows, n = hashes.shape
-    padded = np.zeros((rows, -(-n // 255) * 255), np.uint64)
-    padded[:, :n] = hashes
-    blocks = padded.reshape(rows, -1, 255)
-    out = np.zeros(rows, np.uint64)
-    for j in range(8):
-        counts = ((blocks >> np.uint64(j)) & _BYTES).sum(2).view(np.uint8).reshape(rows, -1, 8).sum(1, dtype=np.int64)
-        for byte in range(8):
-            out |= (2 * counts[:, byte] > n).astype(np.uint64) << np.uint64(8 * byte + j)
-    return out
+    counts = np.zeros((rows, BITS), np.int64)
+    for at in range(0, n, 255 * 64):
+        some = np.ascontiguousarray(hashes[:, at : at + 255 * 64], "<u8")
+        m = some.shape[1]
+        bits = np.unpackbits(some.view(np.uint8).reshape(rows, m, 8), axis=2, bitorder="little")
+        counts += np.add.reduceat(bits, np.arange(0, m, 255), axis=1, dtype=np.uint8).sum(1, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -90,10 +88,14 @@ def word_set_fingerprints(words: list[bytes], bands: int) -> np.ndarray:
         return np.zeros(bands, np.uint64)
     distinct = set(words)
     h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, distinct)), np.uint64)
-    x = h[None, :] + np.arange(1, bands + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return majority(x ^ (x >> np.uint64(31)))
+    out = np.zeros(bands, np.uint64)
+    step = max(1, min(bands, WORDS_AT_ONCE // len(h)))
+    for at in range(0, bands, step):  # of a very long text, one after the other
+        x = h[None, :] + np.arange(at + 1, min(at + step, bands) + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[at : at + step] = majority(x ^ (x >> np.uint64(31)))
+    return out
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -255,18 +257,6 @@ def fingerprint_components(docs: DataFrame, width: int = 3, radius: int = 2, doc
 # ---- near-duplicates by verified similarity
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """While it holds, Arrow batches have at most so many rows: those of verified pairs hold two whole sets in each row."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, of shingles that many sampled texts have, and how many. Results don't depend on the sample."""
     total = rows.count()
@@ -285,9 +275,15 @@ def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return h.view(np.uint64)[order], n[order]
 
 
+def least_shared(n: int | Column) -> int | Column:
+    """How many rare shingles a text of ``n`` shingles shares with every text that is similar enough to it, at least."""
+    return 1 + (F.floor(n / SHARED_OF) if isinstance(n, Column) else n // SHARED_OF)
+
+
 def rare_shingles(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first ``n - ceil(similarity * n) + 1`` of the ``n`` distinct, sorted ``hashes``, in an order that all texts share:
-    those that aren't common first. Two sets that are similar enough have at least one of them in common."""
+    """The first ``n - ceil(similarity * n) + k`` of the ``n`` distinct, sorted ``hashes``, in an order that all texts share:
+    those that aren't common first. Similar sets share ``similarity * n`` at least, and all but ``n - k`` of these stand
+    here; so two sets that are similar enough have the lesser ``k`` of both (``least_shared``) in common here."""
     if not len(hashes):
         return hashes
     known, counts = common
@@ -295,125 +291,198 @@ def rare_shingles(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], sim
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         weight = np.where(known[at] == hashes, counts[at], 0)
         hashes = hashes[np.lexsort((hashes, weight))]
-    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
-
-
-def sharing_rare(distinct: DataFrame) -> DataFrame:
-    """(key, rep, n, pos): each text's rare shingles that another text has, too, with the size of its set and their places."""
-    each = distinct.select("rep", "n", F.posexplode("rare").alias("pos", "key"))
-    of_key = W.partitionBy("key")
-    both = each.withColumns({"lo": F.min("rep").over(of_key), "hi": F.max("rep").over(of_key)}).filter("lo < hi")
-    return written(both.select("key", "rep", "n", "pos"))
-
-
-def _may_be_similar(x: str, y: str, similarity: float) -> Column:
-    """False only where (key, n, pos) of two sets tell that they aren't similar or that this isn't their first common key:
-    beyond it they share at most what follows in both."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    most = 1 + F.least(n - F.col(f"{x}.pos") - 1, m - F.col(f"{y}.pos") - 1)
-    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (most * (1 + similarity) >= similarity * (n + m) - 1e-9)
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + least_shared(len(hashes))]
 
 
-def star_pairs(shared: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): one text of each rare shingle, another for each shingle, with the others that may be similar to it."""
-    one = shared.groupBy("key").agg(F.min_by(F.struct("rep", "n", "pos"), F.xxhash64("key", "rep")).alias("c")).select("key", "c.*")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & _may_be_similar("x", "y", similarity)
-    return shared.alias("x").join(one.alias("y"), on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+def _broadcast_few(df: DataFrame, rows: int) -> DataFrame:
+    """A hint for tables of short rows, of which ``rows`` were counted; beyond the bound the join is shuffled."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def unlinked_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of texts with a rare shingle in common that may be similar and aren't linked by ``roots`` yet."""
-    rooted = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    of_key = W.partitionBy("key")
-    mixed = rooted.withColumns({"lo": F.min("root").over(of_key), "hi": F.max("root").over(of_key)}).filter("lo < hi").drop("lo", "hi")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _may_be_similar("x", "y", similarity)
-    return mixed.alias("x").join(mixed.alias("y"), on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+def _sizes_fit(n: Column, m: Column, similarity: float) -> Column:
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 12, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, group_id) for each row of ``docs``: exact copies and near copies share the least id among them.
+def sketches(rows: DataFrame, width: int, similarity: float, bands: int) -> DataFrame:
+    """(row, doc_id, text_hash, node, n, prints, rare) of (doc_id, text, text_hash).
 
-    Copies with the same words are one node. A pair of nodes counts whose sets of ``width``-word shingles have a Jaccard
-    similarity of at least ``similarity``, computed on the whole sets. The first candidates are nodes whose word-set
-    fingerprints of the same band are within ``radius`` bits, and those that share a rare shingle, each with one
-    representative of the fingerprint or the shingle. Then all pairs that share a rare shingle and aren't linked yet are
-    verified, too. As similar sets must share one, the groups are exact. Texts with no words are copies of one another; a null text is empty.
+    ``node`` is a hash of the words, ``n`` the number of shingles, ``prints`` the fingerprints of the bands and ``rare`` the
+    shingles that the text is looked up by. A task gives the last two once for each node that it meets.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    with small_batches(docs.sparkSession):
-        common = common_shingles(rows, width)
+    common = common_shingles(rows, width)
 
-        def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                same, prints, sizes, rare = [], [], [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                b = whole.slice(at, BATCH_ROWS)
+                nodes, prints, sizes, rare = [], [], [], []
                 for t in _texts(b, "text"):
                     words = words_of(t.as_py())
+                    node = xxhash.xxh3_128_digest(b" ".join(words))
+                    nodes.append(node)
+                    if node in met:
+                        prints.append(None)
+                        sizes.append(None)
+                        rare.append(None)
+                        continue
+                    met.add(node)
                     hashes = np.unique(shingle_hashes(words, width))
-                    same.append(xxhash.xxh3_128_digest(b" ".join(words)))
                     prints.append(word_set_fingerprints(words, bands).view(np.int64))
                     sizes.append(len(hashes))
                     rare.append(rare_shingles(hashes, common, similarity).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "node", "prints", "n", "rare"]
+                    [b.column("doc_id"), b.column("text_hash"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.list_(pa.int64())), pa.array(rare, pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "node", "n", "prints", "rare"],
                 )
 
-        kind = docs.schema[doc_id].dataType.simpleString()
-        nodes = written(rows.mapInArrow(sketch, f"doc_id {kind}, node binary, prints array<bigint>, n int, rare array<bigint>"))
-        distinct = written(nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("prints").alias("prints"), F.any_value("n").alias("n"), F.any_value("rare").alias("rare")))
-        shared = sharing_rare(distinct)
-        # representatives first, so that the members of a large group aren't all paired with all
-        first = cut(same_band_pairs(distinct, radius).unionByName(star_pairs(shared, similarity)).distinct())
-        good = cut(similar(rows, first, width, similarity))
-        roots = connected_components(good)
-        more = cut(unlinked_pairs(shared, roots, similarity))
-        if not more.isEmpty():
-            roots = connected_components(good.unionByName(similar(rows, more, width, similarity)))
-        roots = roots.withColumnRenamed("node", "rep")
-    classed = distinct.select("node", "rep").join(roots, "rep", "left").select("node", F.coalesce("root", "rep").alias("group_id"))
-    return nodes.select("doc_id", "node").join(classed, "node").select("doc_id", "group_id")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    with small_batches(rows.sparkSession):
+        found = rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, node binary, n int, prints array<bigint>, rare array<bigint>")
+        return written(found.withColumn("row", F.monotonically_increasing_id()))
 
 
-def same_band_pairs(distinct: DataFrame, radius: int) -> DataFrame:
+def same_band_pairs(distinct: DataFrame, radius: int, similarity: float) -> DataFrame:
     """(a, b): candidates by the fingerprints of ``prints``, through representatives, so linear in a group's size."""
-    banded = distinct.select("rep", F.posexplode("prints").alias("band", "fp"))
+    banded = distinct.select("rep", "n", F.posexplode("prints").alias("band", "fp"))
     # one representative for each fingerprint; the other nodes that have it are candidates with that one
-    firsts = cut(banded.groupBy("band", "fp").agg(F.min("rep").alias("first")))
-    same_print = banded.join(firsts, ["band", "fp"]).filter("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    firsts = cut(banded.groupBy("band", "fp").agg(F.min("rep").alias("first"), F.min_by("n", "rep").alias("m")))
+    same_print = banded.join(firsts, ["band", "fp"]).filter((F.col("rep") != F.col("first")) & _sizes_fit(F.col("n"), F.col("m"), similarity)).select(F.col("first").alias("a"), F.col("rep").alias("b"))
     found = links(firsts.select("band", "fp"), radius)
-    near = (
-        found.join(firsts.select("band", F.col("fp").alias("a"), F.col("first").alias("x")), ["band", "a"])
-        .join(firsts.select("band", F.col("fp").alias("b"), F.col("first").alias("y")), ["band", "b"])
-        .filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    )
-    return same_print.unionByName(near)
+    end = lambda fp, x: firsts.select("band", F.col("fp").alias(fp), F.col("first").alias(x), F.col("m").alias(f"n_{x}"))
+    near = found.join(end("a", "x"), ["band", "a"]).join(end("b", "y"), ["band", "b"]).filter((F.col("x") != F.col("y")) & _sizes_fit(F.col("n_x"), F.col("n_y"), similarity))
+    return same_print.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
-def similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the (a, b) ``pairs`` of ids whose texts' shingle sets are at least so similar (Jaccard)."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def mixed_keys(nodes: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, rep, n, pos): the rare shingles that nodes of different groups share, with those nodes.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [np.unique(shingle_hashes(words_of(t.as_py()), width)).view(np.int64) for t in _texts(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "hashes"])
+    Of each shingle only its hash and the least and the greatest of its groups are shuffled; what is left is few.
+    """
+    of_rep = distinct.select("rep", F.col("node").alias("_node"))
+    linked = cut(roots.join(of_rep, F.col("node") == F.col("rep")).select(F.col("_node").alias("node"), F.xxhash64("root").alias("group")))
+    own = nodes.filter(F.col("rare").isNotNull()).join(_broadcast_few(linked, linked.count()), "node", "left").select("node", "n", "rare", F.coalesce("group", F.xxhash64("node")).alias("group"))
+    both = own.select(F.explode("rare").alias("key"), "group").groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("key")
+    both = cut(both)
+    placed = own.select("node", "n", F.posexplode("rare").alias("pos", "key")).join(_broadcast_few(both, both.count()), "key")
+    # a node that several tasks have met is listed once
+    return written(placed.groupBy("key", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).join(of_rep.withColumnRenamed("_node", "node"), "node").select("key", "rep", "n", "pos"))
 
-    # texts and sets are far larger than ids, so they aren't shuffled for the sake of those
-    needed = F.broadcast(needed) if pairs.count() <= BROADCAST_PAIRS else needed
-    hashed = written(rows.join(needed, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, hashes array<bigint>"))
-    if not hashed.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        hashed = hashed.dropDuplicates(["doc_id"])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column("x"), b.column("y")
-            keep = []
-            for i in range(b.num_rows):
-                p, q = x[i].values.to_numpy(zero_copy_only=False), y[i].values.to_numpy(zero_copy_only=False)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                union = len(p) + len(q) - both
-                keep.append(union == 0 or both >= similarity * union)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(hashed.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(hashed.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(judge, f"a {kind}, b {kind}")
+def _rooted(mixed: DataFrame, roots: DataFrame) -> DataFrame:
+    """``mixed`` with each node's root, where a key still has several."""
+    rooted = mixed.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    return written(rooted.join(several, "key"))
+
+
+def _sharing_enough(x: DataFrame, y: DataFrame, apart: Column, similarity: float) -> DataFrame:
+    """(a, b): nodes of ``x`` and ``y`` (key, rep, n, pos, root) that share as many keys as similar ones do, which are counted
+    before anything of their texts is looked at; beyond their last common key they share at most what follows in both."""
+    n, m = F.col("x.n"), F.col("y.n")
+    rows = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & apart & _sizes_fit(n, m, similarity))
+    counted = rows.groupBy(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).agg(
+        F.count("*").alias("shared"), F.max(n).alias("n"), F.max(m).alias("m"), F.min(n - F.col("x.pos") - 1).alias("p"), F.min(m - F.col("y.pos") - 1).alias("q")
+    )
+    enough = F.col("shared") >= F.least(least_shared(F.col("n")), least_shared(F.col("m")))
+    most = F.col("shared") + F.least("p", "q")
+    return counted.filter(enough & (most * (1 + similarity) >= similarity * (F.col("n") + F.col("m")) - 1e-6)).select("a", "b")
+
+
+def star_pairs(rooted: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the least node of each rare shingle with others that may be similar to it and aren't in its group."""
+    one = written(rooted.groupBy("key").agg(F.min("rep").alias("first")).select("first").distinct())
+    firsts = rooted.join(_broadcast_few(one, one.count()), F.col("rep") == F.col("first")).drop("first")
+    return _sharing_enough(rooted, firsts, F.col("x.rep") > F.col("y.rep"), similarity)
+
+
+def unlinked_pairs(rooted: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of nodes that share enough rare shingles and aren't in one group."""
+    return _sharing_enough(rooted, rooted, F.col("x.rep") > F.col("y.rep"), similarity)
+
+
+def similar(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the stored (a, b) ``pairs`` of nodes whose shingle sets are at least so similar (Jaccard), on whole sets.
+
+    Texts aren't shuffled for the sake of ids, unless these are many. Of each pair the set of the node with fewer partners
+    travels to the other, so that no set is sent about for each of the thousands of partners that a node may have.
+    """
+    n_pairs = pairs.count()
+    if not n_pairs:
+        return pairs
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("partners"))
+    ends = cut(ends.join(distinct.select("rep", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash")), "rep"))
+    known = lambda c: ends.select(F.col("rep").alias(c), F.col("partners").alias(f"n_{c}"))
+    sided = pairs.join(known("a"), "a").join(known("b"), "b")
+    sided = sided.select(*(F.when(F.col("n_a") >= F.col("n_b"), F.col(x)).otherwise(F.col(y)).alias(c) for c, x, y in (("stay", "a", "b"), ("go", "b", "a"))))
+    go = cut(sided.groupBy("go").agg(F.collect_list("stay").alias("to")).join(ends.withColumnRenamed("rep", "go"), "go").select("_id", "_hash", F.col("go").alias("rep"), "to"))
+    stay = ends.join(sided.select(F.col("stay").alias("rep")).distinct(), "rep").select("_id", "_hash", "rep", F.array("rep").alias("to"))
+
+    def sets(wanted: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+        here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+        texts = rows.join(_broadcast_few(wanted, n_pairs), here).select("rep", "to", "text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met: set[int] = set()
+            for b in batches:
+                for rep, to, text in zip(b.column("rep").to_pylist(), b.column("to"), _texts(b, "text")):
+                    if rep in met:  # another row of the same id and text
+                        continue
+                    met.add(rep)
+                    hashes = np.unique(shingle_hashes(words_of(text.as_py()), width)).view(np.int64)
+                    step = max(1, SET_BYTES // max(1, hashes.nbytes))
+                    for at in range(0, len(to.values), step):
+                        some = to.values.slice(at, step)
+                        many = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * len(hashes), np.tile(hashes, len(some)))
+                        yield pa.RecordBatch.from_arrays([some, pa.array(np.full(len(some), rep)), many], list(names))
+
+        return texts.mapInArrow(run, f"{names[0]} bigint, {names[1]} bigint, {names[2]} array<bigint>")
+
+    with small_batches(rows.sparkSession):
+        left, right = sets(go, ("stay", "go", "x")), sets(stay, ("stay", "_stay", "y")).drop("_stay")
+        both = F.size(F.array_intersect("x", "y"))
+        union = F.size("x") + F.size("y") - both
+        fine = left.join(right, "stay").filter((union == 0) | (both >= similarity * union - 1e-9))
+        return cut(fine.select(F.least("stay", "go").alias("a"), F.greatest("stay", "go").alias("b")).distinct())
+
+
+def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 4, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, group_id, stays) for each row of ``docs``: exact copies and near copies share the least id among them.
+
+    Copies with the same words are one node. A pair of nodes counts whose sets of ``width``-word shingles have a Jaccard
+    similarity of at least ``similarity``, computed on the whole sets. The first candidates are nodes whose word-set
+    fingerprints of the same band are within ``radius`` bits, with one representative of each fingerprint. Then pairs that
+    share enough rare shingles and aren't linked yet are verified: those with representatives of the shingles, and last all
+    that are left. As similar sets must share so many, the groups are exact.
+
+    ``stays`` is true for the group's least id, of several texts of that id for the one with the least ``text_hash``; rows that are
+    alike in both stay or go together. Texts with no words are copies of one another; a null text is empty. A null id is
+    the least only in a group of no others. An empty table gives no rows.
+    """
+    content = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), content.alias("text"), F.xxhash64(content).alias("text_hash"))
+    nodes = sketches(rows, width, similarity, bands)
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("one")
+    distinct = written(nodes.groupBy("node").agg(F.min("row").alias("rep"), one, F.max("n").alias("n"), F.first("prints", ignorenulls=True).alias("prints")))
+    # representatives first, so that the members of a large group aren't all paired with all
+    good = similar(rows, distinct, cut(same_band_pairs(distinct, radius, similarity)), width, similarity)
+    roots = connected_components(good)
+    mixed = mixed_keys(nodes, distinct, roots)
+    for pairs in (star_pairs, unlinked_pairs):
+        more = similar(rows, distinct, cut(pairs(_rooted(mixed, roots), similarity)), width, similarity)
+        if not more.isEmpty():
+            good = good.unionByName(more)
+            roots = connected_components(good)
+    classed = distinct.select("node", "rep", "one").join(roots.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = classed.groupBy("root").agg(F.min("one").alias("least"))
+    by_node = classed.join(least, "root").select("node", "least")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return nodes.select("doc_id", "text_hash", "node").join(by_node, "node").select("doc_id", "text_hash", F.col("least.doc_id").alias("group_id"), stays.alias("stays"))
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the one document of each group of near copies that ``stays``, all columns as they were."""
+    groups = near_duplicate_groups(docs, width, similarity, doc_id=doc_id, text=text)
+    gone = cut(groups.filter(~F.col("stays")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    here = docs[doc_id].eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == gone["_hash"])
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, here, "left_anti")

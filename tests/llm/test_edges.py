@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -50,6 +51,15 @@ def test_lines_of_repeated_rows_clashing_names_and_empty_tables(spark):
     assert {r.text for r in line_dedup(docs(spark, (1, é), (2, é.lower()), (3, é))).collect()} == {é, é.lower()}  # only A-Z are folded
 
 
+def test_lines_of_very_long_texts(spark):
+    n, line = 200_000, "a line of twenty characters or more"
+    long = "\n".join(line if i % 100 == 0 else str(i) for i in range(n))
+    began = time.monotonic()
+    got = {r.doc_id: r for r in line_dedup(docs(spark, (1, long), (2, line), (3, line))).collect()}
+    assert time.monotonic() - began < 60
+    assert (got[1].n_lines, got[1].n_dropped) == (n, n // 100) and got[1].text == "\n".join(str(i) for i in range(n) if i % 100)
+
+
 # ---- pieces
 
 
@@ -71,12 +81,23 @@ def test_pieces_match_the_library_on_odd_texts(vocabulary):
 
 
 def test_pieces_forget_and_still_match(vocabulary, monkeypatch):
-    monkeypatch.setattr(pieces, "REMEMBERED", 3)
-    monkeypatch.setattr(pieces, "PREFIXES", 50)
-    small, large = pieces.Coder(vocabulary), None
-    monkeypatch.undo()
-    large = pieces.Coder(vocabulary)
-    assert small.encode(LONG[:5000]) == large.encode(LONG[:5000])
+    words = LONG[:5000].split()
+    texts = [" ".join(words[i : i + 40]) for i in range(0, len(words), 20)] + ["x" * 300_000 + " é" * 3 + "\ue000y", "\ue000 \ue001", "漢字" * 400]
+    want = pieces.Coder(vocabulary).encode_all(texts)
+    for name, value in (("REMEMBERED", 3), ("POOLED", 50), ("PAIRS", 4), ("FILLED", 10), ("SHORT", 3)):
+        monkeypatch.setattr(pieces, name, value)
+    small = pieces.Coder(vocabulary)
+    for _ in range(2):
+        assert all((a == b).all() for a, b in zip(small.encode_all(texts), want))
+    assert [small.encode(t) for t in texts] == [want[0][a:b].tolist() for a, b in zip(want[1], want[1][1:])]
+    assert small.decode_all(*want).to_pylist() == texts
+
+
+def test_pieces_of_broken_bytes_and_leading_nothing(vocabulary):
+    coder = pieces.Coder(vocabulary)
+    lists = [[], [1, 350], [0xE4 + 3, 350], [0x20 + 3, 350], [350, 0xC3 + 3, 0xA9 + 3], [2], [0]]
+    ids, offsets = np.array([i for x in lists for i in x], np.int32), np.cumsum([0, *map(len, lists)])
+    assert coder.decode_all(ids, offsets).to_pylist() == [coder.decode(x) for x in lists]
 
 
 def test_pieces_of_columns(spark, vocabulary):
@@ -266,6 +287,37 @@ def test_copies_that_their_representative_rejects(spark, copies):
     assert {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(docs(spark, *texts)).collect()} == want
 
 
+def test_near_copies_of_odd_rows(spark):
+    rnd = random.Random(4)
+    a, b, c = (" ".join(f"word{rnd.randrange(5000)}" for _ in range(120)) for _ in range(3))
+    rows = docs(spark, (1, a), (1, a), (1, b), (2, b.upper()), (2, c), (None, a), (None, c + " more"), (9, None), (8, " ")).withColumns({"_id": F.lit("mine"), "node": F.lit(1), "n": F.lit(None).cast("int")})
+    left = simhash.without_near_copies(rows)
+    # two texts of one id stay or go by themselves; rows that are alike are one document
+    assert left.columns == rows.columns and sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(1, a), (1, a), (1, b), (2, c), (8, " ")])
+    assert simhash.without_near_copies(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_near_copies_against_brute_force(spark, monkeypatch, few):
+    # a large bucket of one set of words in many orders, edits of all kinds, and ids that aren't in order
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", few)
+    rnd = random.Random(6 + few)
+    texts = []
+    for i in range(6):
+        base = [f"b{i}w{rnd.randrange(400)}" for _ in range(rnd.randrange(60, 200))]
+        for k in range(25):
+            words = list(base)
+            for _ in range(rnd.randrange(0, 4)):
+                at, cut_ = rnd.randrange(len(words)), rnd.randrange(1, 12)
+                words = [words[:at] + words[at + cut_ :], words[:at] + [f"x{rnd.randrange(50)}" for _ in range(cut_)] + words[at:], words[at:] + words[:at]][rnd.randrange(3)] or words
+            texts.append(" ".join(words))
+    texts = list(zip(rnd.sample(range(10_000), len(texts)), texts))
+    want = jaccard_groups(texts)
+    got = simhash.near_duplicate_groups(docs(spark, *texts)).collect()
+    assert len(set(want.values())) < len(texts) and {r.doc_id: r.group_id for r in got} == want
+    assert {r.doc_id for r in got if r.stays} == set(want.values())
+
+
 # ---- substrings
 
 
