@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import pieces, quality
-from tessera.llm.common import table, written
+from tessera.llm.common import bounded_batches, table, written
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.lines import line_dedup
-from tessera.llm.simhash import near_duplicate_groups
+from tessera.llm.simhash import without_near_copies
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the ordinal classifier, fitted on the labelled ones, takes for good."""
+    bounded_batches(spark)
     model = quality.train(docs, quality.grades_of(table(spark, sf_dir, "labels")))
     return quality.grade(docs, model, keep_from=2).filter("keep").select(*COLUMNS)
 
@@ -31,9 +32,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the least id, of each group of near copies: 5-word shingles, similarity of 0.8 or more."""
-    groups = near_duplicate_groups(docs.select("doc_id", "text"), width=5, similarity=0.8)
-    gone = groups.filter("doc_id != group_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return without_near_copies(docs, width=5, similarity=0.8).select(*COLUMNS)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +44,7 @@ def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes each text into piece ids, and decodes these again."""
     import public_tokenizers
 
+    bounded_batches(spark)
     vocabulary = pieces.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
     coded = pieces.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), vocabulary)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
