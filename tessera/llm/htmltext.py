@@ -5,7 +5,7 @@ once, optional or repeated, and text that is either constant or a slot. It is ma
 host's pages one after the other: runs and tandem repeats of groups become repeated groups, what only one side has
 becomes optional, differing text becomes a slot. The wrapper tells where the host keeps its article: in an element
 that says so, or else in the element whose slots vary most outside of links. A page's text is what stands there, without the
-groups that are boilerplate by their element, class, id or role.
+groups that are boilerplate by their element, class, id or role, and without the blocks that are constant over the host.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -30,11 +31,17 @@ LEVEL_GROUPS = 64
 
 #: Layouts of a host that wrappers are inferred for, one in each round over the pages that follow none yet.
 LAYOUTS = 16
+#: Levels of elements that a wrapper tells apart; what is nested deeper counts as text of the element there.
+LEVELS = 60
+#: Blocks are constant if all of so many different sample pages, at least, have them, beside twice as much text of their own.
+CONSTANT_PAGES = 6
 #: Wrappers are broadcast up to so many bytes of them.
 BROADCAST_BYTES = 32 << 20
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+#: A quote opens a value only after the equals sign; elsewhere it is a character like others.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes template xmp".split())
 BLOCKS = frozenset(
@@ -51,6 +58,9 @@ OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog
 OUT_NAMES = frozenset(
     "ad ads adbox adsbox adslot adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar tooltip widget widgets".split()
 )
+#: Of these an element is boilerplate only while it says little, as bars and notes do; long text under such a name is the article's.
+WEAK_NAMES = frozenset("alert banner discussion header login overlay respond share sharing skip social toolbar tooltip widget widgets".split())
+LITTLE = 200
 MAIN_NAMES = ("articlebody", "article", "story", "entry", "post", "content", "main")
 
 
@@ -71,6 +81,12 @@ def parse(page: str) -> Element:
     that can't stand inside them begins; end tags of nothing open are passed over; a tag that the page breaks off in goes."""
     root = Element("#root")
     stack, at, n = [root], 0, len(page)
+    opened: Counter[str] = Counter()
+
+    def close(k: int) -> None:
+        opened.subtract(e.tag for e in stack[k:])
+        del stack[k:]
+
     while at < n:
         m = TOKEN.search(page, at)
         stop = m.start() if m else n
@@ -83,15 +99,14 @@ def parse(page: str) -> Element:
         if not tag or not m[4]:
             continue
         if m[1]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
-                del stack[k:]
+            if opened[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         closes = CLOSES.get(tag, ())
-        if closes:
+        if any(opened[t] > 0 for t in closes):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in closes:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in STOPS:
                     break
@@ -99,7 +114,7 @@ def parse(page: str) -> Element:
         for name, a, b, c in ATTRIBUTE.findall(m[3]) if m[3].strip(" /") else ():
             name, value = name.lower(), (a or b or c)
             if name in ("class", "id"):
-                marks += (x for x in re.split(r"[^a-z]+", value.lower()) if x)
+                marks += (x for x in re.split(r"[^a-z]+", CAMEL.sub(" ", value).lower()) if x)
             elif name == "role":
                 marks.append("role=" + value.lower().strip())
             hidden |= name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()))
@@ -113,22 +128,48 @@ def parse(page: str) -> Element:
             at = end.end() if end else n
         elif not m[3].endswith("/") or tag in BLOCKS:
             stack.append(element)
+            opened[tag] += 1
     return root
 
 
-def is_boilerplate(tag: str, marks: tuple[str, ...] | list[str], hidden: bool = False) -> bool:
-    return hidden or tag in OUT_TAGS or any(m in OUT_NAMES or m[:5] == "role=" and m[5:] in OUT_ROLES for m in marks)
+def is_boilerplate(tag: str, marks: tuple[str, ...] | list[str], hidden: bool = False, says: int = 0) -> bool:
+    """``says``: characters of the element's text outside of links, if they are known."""
+    if hidden or tag in OUT_TAGS:
+        return True
+    return any((m in OUT_NAMES and (says < LITTLE or m not in WEAK_NAMES)) or m[:5] == "role=" and m[5:] in OUT_ROLES for m in marks)
+
+
+def _is_out(e: Element) -> bool:
+    """``is_boilerplate`` of an element; only where its name is a weak one its text is looked at."""
+    if not is_boilerplate(e.tag, e.marks, e.hidden):
+        return False
+    return is_boilerplate(e.tag, e.marks, e.hidden, _says(e)) if any(m in WEAK_NAMES for m in e.marks) else True
+
+
+def _says(e: Element) -> int:
+    """Characters of text in an element, outside of links and of elements that never hold an article's text."""
+    n, todo = 0, [e]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            n += len(" ".join(x.split()))
+        elif x.tag != "a" and x.tag not in OUT_TAGS and not x.hidden:
+            todo += x.children
+    return n
 
 
 # ---- wrappers: nested dicts, so that they travel as JSON
 
 
-def _group(e: Element | str) -> dict:
+def _group(e: Element | str, level: int = 0) -> dict:
     """The most special wrapper of one token: every child group once, its text constant."""
     if isinstance(e, str):
         return {"sig": "#text", "const": " ".join(e.split())}
+    one = {"sig": e.signature, "tag": e.tag, "marks": list(e.marks), "hidden": e.hidden, "says": _says(e) if any(m in WEAK_NAMES for m in e.marks) else 0}
+    if level >= LEVELS:
+        return one | {"groups": [{"sig": "#text", "const": None, "size": _says(e)}]}
     kids = [c for c in e.children if not isinstance(c, str) or c.strip()]
-    return {"sig": e.signature, "tag": e.tag, "marks": list(e.marks), "hidden": e.hidden, "groups": _fold([_group(c) for c in kids])}
+    return one | {"groups": _fold([_group(c, level + 1) for c in kids])}
 
 
 def _merge(a: dict, b: dict) -> dict:
@@ -138,7 +179,7 @@ def _merge(a: dict, b: dict) -> dict:
         return {"sig": "#text", "const": a["const"] if a["const"] == b["const"] else None, "size": max(_size(a), _size(b))} | flags
     if a["sig"] == "#seq":
         return {"sig": "#seq", "groups": _align(a["groups"], b["groups"])} | flags
-    return {k: a[k] for k in ("sig", "tag", "marks", "hidden")} | {"groups": _align(a["groups"], b["groups"])} | flags
+    return {k: a[k] for k in ("sig", "tag", "marks", "hidden")} | {"says": max(a["says"], b["says"])} | {"groups": _align(a["groups"], b["groups"])} | flags
 
 
 def _size(text: dict) -> int:
@@ -191,22 +232,35 @@ def _key(g: dict) -> str:
 
 
 def infer(pages: list[str]) -> dict:
-    """The wrapper of a host's sample pages, with ``main``: the path of signatures to where it keeps its article."""
+    """The wrapper of a host's sample pages: ``main``, the path of signatures to where it keeps its article, ``beside``, its
+    siblings that belong to it, and ``const``, the blocks there that all pages have."""
     wrapper: dict | None = None
-    for page in pages:
-        one = _group(parse(page))
+    roots = [parse(page) for page in pages]
+    for root in roots:
+        one = _group(root)
         wrapper = one if wrapper is None else _merge(wrapper, one)
     if wrapper is None:
         return {"main": None}
     main = _main_path(wrapper)
-    return {"main": main, "beside": _beside(wrapper, main)}
+    found = {"main": main, "beside": _beside(wrapper, main)}
+    return found | {"const": _constant([_blocks(_along(root, found)) for root in roots])} if main else found
+
+
+def _constant(pages: list[list[str]]) -> list[str]:
+    """Blocks that all pages have, unless these are too few or too alike, as copies of one article are."""
+    different = {tuple(blocks) for blocks in pages if blocks}
+    if len(different) < CONSTANT_PAGES:
+        return []
+    common = set.intersection(*map(set, different))
+    size = sum(map(len, common))
+    return sorted(common) if all(sum(map(len, p)) >= 3 * size for p in different) else []
 
 
 def _varying(g: dict) -> int:
     """The size of the varying text in a group, outside of links and boilerplate."""
     if g["sig"] == "#text":
         return _size(g) if g["const"] is None else 0
-    if g["sig"] != "#seq" and (g["tag"] == "a" or is_boilerplate(g["tag"], g["marks"], g["hidden"])):
+    if g["sig"] != "#seq" and (g["tag"] == "a" or is_boilerplate(g["tag"], g["marks"], g["hidden"], g["says"])):
         return 0
     return sum(map(_varying, g["groups"]))
 
@@ -243,7 +297,7 @@ def _main_path(wrapper: dict) -> list[str] | None:
             return 0.0 if linked else float(_size(g)) * (1 if g["const"] is None else 0.25) * (3 if g.get("rep") else 1)
         if g["sig"] == "#seq":
             return 3 * sum(walk(x, path, linked) for x in g["groups"])
-        if is_boilerplate(g["tag"], g["marks"], g["hidden"]):
+        if is_boilerplate(g["tag"], g["marks"], g["hidden"], g["says"]):
             return 0.0
         here = [*path, g["sig"]]
         own = sum(walk(x, here, linked or g["tag"] == "a") for x in g["groups"]) * (3 if g.get("rep") else 1)
@@ -266,13 +320,18 @@ CONTAINERS = frozenset("article body div main section td center #root".split())
 # ---- extraction
 
 
-def _find(e: Element, wanted) -> list[Element]:
-    """The topmost elements that are wanted, none of them inside boilerplate."""
+def _find(e: Element, wanted: Callable[[Element], bool]) -> list[Element]:
+    """The topmost elements that are wanted, in page order, none of them inside boilerplate."""
     out: list[Element] = []
-    for c in e.children:
-        if isinstance(c, str) or is_boilerplate(c.tag, c.marks, c.hidden) and c.tag not in ("article", "main"):
+    todo = list(reversed(e.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str) or c.tag not in ("article", "main") and _is_out(c):
             continue
-        out += [c] if wanted(c) else _find(c, wanted)
+        if wanted(c):
+            out.append(c)
+        else:
+            todo.extend(reversed(c.children))
     return out
 
 
@@ -281,35 +340,43 @@ def _along(e: Element, wrapper: dict) -> list[Element]:
     path, level = wrapper["main"], [e]
     for k, sig in enumerate(path[1:], 2):
         wanted = {sig, *wrapper.get("beside", ())} if k == len(path) else {sig}
-        level = [c for x in level for c in x.children if not isinstance(c, str) and c.signature in wanted and not is_boilerplate(c.tag, c.marks, c.hidden)]
+        level = [c for x in level for c in x.children if not isinstance(c, str) and c.signature in wanted and not _is_out(c)]
     return level if len(path) < 2 or any(x.signature == path[-1] for x in level) else []
 
 
-def _article(root: Element, wrapper: dict | None) -> list[Element]:
-    """Where a page has its article: along its host's wrapper, or that of another layout, or by its own elements."""
+def _article(root: Element, wrapper: dict | None) -> tuple[list[Element], set[str]]:
+    """Where a page has its article, along its host's wrapper, or that of another layout, or by its own elements; and the
+    blocks there that are constant."""
     while wrapper:
         if wrapper.get("main") and (found := _along(root, wrapper)):
-            return found
+            return found, set(wrapper.get("const", ()))
         wrapper = wrapper.get("next")
     # an article of comments is marked as such or stands inside of boilerplate
-    return _find(root, lambda e: e.tag == "article" and not is_boilerplate("", e.marks, e.hidden)) or _find(root, lambda e: (e.tag == "main" or "role=main" in e.marks) and not e.hidden)
+    own = _find(root, lambda e: e.tag == "article" and not is_boilerplate("", e.marks, e.hidden)) or _find(root, lambda e: (e.tag == "main" or "role=main" in e.marks) and not e.hidden)
+    return own, set()
 
 
 def follows(page: str | None, wrapper: dict | None) -> bool:
     """False for a page that would be taken whole."""
-    return not page or not page.strip() or bool(_article(parse(page), wrapper))
+    return not page or not page.strip() or bool(_article(parse(page), wrapper)[0])
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:
     """Main text: blocks in page order, one on each line, white space inside of them as one space.
 
-    The page is read along the host's wrapper. Where it doesn't follow that, as a page of another layout or one that is
-    cut off, its own ``article`` or ``main`` element counts, and the whole body where it has neither.
+    The page is read along the host's wrapper, and its constant blocks go, unless nothing else is there. Where it doesn't
+    follow the wrapper, as a page of another layout or one that is cut off, its own ``article`` or ``main`` element counts,
+    and the whole body where it has neither.
     """
     if not page or not page.strip():
         return ""
     root = parse(page)
-    found = _article(root, wrapper) or [root]
+    found, constant = _article(root, wrapper)
+    blocks = _blocks(found or [root])
+    return "\n".join([b for b in blocks if b not in constant] or blocks)
+
+
+def _blocks(found: list[Element]) -> list[str]:
     blocks: list[str] = []
     line: list[str] = []
 
@@ -332,16 +399,16 @@ def extract(page: str | None, wrapper: dict | None) -> str:
                 flush()
             line.append(" ")
         elif e.tag == "header" and not top:
-            for h in _find(e, lambda x: x.tag in HEADINGS):
+            for h in reversed(_find(e, lambda x: x.tag in HEADINGS)):
                 todo.append((h, False))
-        elif top or not is_boilerplate(e.tag, e.marks, e.hidden):
+        elif top or not _is_out(e):
             block = top or e.tag in BLOCKS
             if block:
                 flush()
                 todo.append((None, False))
             todo.extend((c, False) for c in reversed(e.children))
     flush()
-    return "\n".join(blocks)
+    return blocks
 
 
 def host_of(url: Column) -> Column:
