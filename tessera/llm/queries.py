@@ -45,9 +45,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     copy = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
     events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", copy.alias("copy"), "role", "text")
     made = chat.format_chats(chat.fold(events))
-    back = F.arrays_zip(chat.read_back(F.col("formatted")).alias("m"), F.col("mask").alias("k"))
-    turns = made.select("conv_id", "formatted", F.transform(back, lambda z: F.struct(z["m"]["role"].alias("role"), z["m"]["text"].alias("text"), (z["k"]["loss"] & (z["k"]["stop"] - z["k"]["start"] == z["m"]["raw"])).alias("loss"))).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    # what is under the mask is cut out of the output, and its protection undone
+    cuts = F.transform(F.filter("mask", lambda k: k["loss"]), lambda k: chat.unescape(F.substr(F.col("formatted"), (k["start"] + 1).cast("int"), (k["stop"] - k["start"]).cast("int"))))
+    turns = made.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), F.array_join(cuts, "").alias("loss"))
+    loss = F.col("loss")
     return turns.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         _sha256(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")).alias("turns_sha256"),
