@@ -28,25 +28,33 @@ MIN_TEXTS = 8
 #: Tokens whose features a worker remembers.
 REMEMBERED = 100_000
 SHAPE_SCALE = 8.0
+PIECE = 64
 
 _known: dict[str, tuple[int, int]] = {}
 _RUN = re.compile(r"(.)\1+", re.S)
 
 
 def _token(token: str) -> tuple[int, int]:
-    """Buckets of a token's word, -1 if it has none, and of its shape. Very long tokens have the shape of their ends."""
+    """Buckets of a token's word, -1 if it has none, and of its shape."""
     word = "".join([c for c in token.lower() if c.isalnum()])
-    ends = token if len(token) <= 64 else token[:32] + token[-32:]
-    shape = _RUN.sub(r"\1\1", "".join(["A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in ends]))
+    shape = _RUN.sub(r"\1\1", "".join(["A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in token]))
     return (xxhash.xxh32_intdigest("w" + word) % BUCKETS if word else -1, xxhash.xxh32_intdigest("s" + shape) % BUCKETS)
 
 
 _REPEATS = xxhash.xxh32_intdigest("repeats") % BUCKETS
 
 
+def _tokens(text: str) -> list[str]:
+    """What white space parts; longer tokens, as of writing without spaces, count by pieces of ``PIECE`` characters, each."""
+    tokens = text.split()
+    if len(text) > PIECE and any(map(PIECE.__lt__, map(len, tokens))):
+        tokens = [t[i : i + PIECE] for t in tokens for i in range(0, len(t), PIECE)]
+    return tokens
+
+
 def features(text: str | None) -> dict[int, float]:
     """Sparse features of one text; none for a text without tokens."""
-    tokens = (text or "").split()
+    tokens = _tokens(text or "")
     out: dict[int, float] = {}
     if not tokens:
         return out
@@ -90,7 +98,8 @@ def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.ndarra
     seen, count = np.unique(bucket, return_counts=True)
     used = seen[count >= min_texts]
     kept = np.isin(bucket, used)
-    at, col, val = row[kept], np.searchsorted(used, bucket[kept]), value[kept].astype(np.float64)
+    at, col, val = row[kept].astype(np.int32), np.searchsorted(used, bucket[kept]).astype(np.int32), value[kept].astype(np.float32)
+    del row, bucket, value, kept
     y = np.searchsorted(grades, grade)
     n, k = len(grade), len(grades)
     w = np.zeros(len(used))
@@ -125,9 +134,10 @@ def _thresholds(raw: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text", grade: str = "grade") -> Model:
     """A model from (doc_id, grade) ``ratings``, of which at most ``sample_rows`` are used, picked by the hash of the id.
 
-    Null grades and ids count as unlabelled; ids without a document are passed over.
+    Null grades and ids count as unlabelled; ids without a document are passed over. Repeated rows of ``ratings`` count once,
+    repeated documents each time; a document with several grades counts with each. Columns named alike don't clash.
     """
-    picked = ratings.filter(F.col(doc_id).isNotNull() & F.col(grade).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(grade).cast("int").alias("_grade"))
+    picked = ratings.filter(F.col(doc_id).isNotNull() & F.col(grade).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(grade).cast("int").alias("_grade")).distinct()
     picked = picked.orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample_rows)  # so many rows at most are sent to every executor
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), "_id")
 
@@ -141,9 +151,12 @@ def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, d
     got = got.sort_by([("_id", "ascending"), ("_grade", "ascending")]).combine_chunks()  # the same model whatever order the tasks ended in
     if not got.num_rows:
         return Model()
-    lists = got.column("b").combine_chunks()
-    lengths = np.diff(lists.offsets.to_numpy())
-    return fit(np.repeat(np.arange(got.num_rows), lengths), lists.flatten().to_numpy(), got.column("x").combine_chunks().flatten().to_numpy(), got.column("_grade").to_numpy())
+    lists, values, grades = (got.column(c).combine_chunks() for c in ("b", "x", "_grade"))
+    del got
+    model = fit(np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), values.flatten().to_numpy(), grades.to_numpy())
+    del lists, values
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def grade(docs: DataFrame, model: Model, keep_from: int, min_tail: float = 0.4, text: str = "text") -> DataFrame:
