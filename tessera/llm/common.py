@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import gc
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -54,12 +55,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where Spark runs in one machine's single
+    process, as in tests, a folder of its own does where none is set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(where)
-    elif not spark.sparkContext.getCheckpointDir():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints"
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return where
 
@@ -79,6 +82,13 @@ def written(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files and checkpoints of steps that are over: it does when the driver collects garbage,
+    which a driver that has little to do itself may not for a long time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a written table; a stopped session leaves nothing to delete with."""
     if spark.sparkContext._jsc is None:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, small_batches, written
+from tessera.llm.common import cut, release, small_batches, written
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -380,7 +380,10 @@ def _sharing_enough(x: DataFrame, y: DataFrame, apart: Column, similarity: float
     """(a, b): nodes of ``x`` and ``y`` (key, rep, n, pos, root) that share as many keys as similar ones do, which are counted
     before anything of their texts is looked at; beyond their last common key they share at most what follows in both."""
     n, m = F.col("x.n"), F.col("y.n")
-    rows = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & apart & _sizes_fit(n, m, similarity))
+    # what two sets can share at most, by the places of one key that both have
+    most = 1 + F.least("x.pos", "y.pos") + F.least(n - F.col("x.pos") - 1, m - F.col("y.pos") - 1)
+    near = _sizes_fit(n, m, similarity) & (most * (1 + similarity) >= similarity * (n + m) - 1e-6)
+    rows = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & apart & near)
     counted = rows.groupBy(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).agg(
         F.count("*").alias("shared"), F.max(n).alias("n"), F.max(m).alias("m"), F.min(n - F.col("x.pos") - 1).alias("p"), F.min(m - F.col("y.pos") - 1).alias("q")
     )
@@ -443,7 +446,9 @@ def similar(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, width: int,
         both = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - both
         fine = left.join(right, "stay").filter((union == 0) | (both >= similarity * union - 1e-9))
-        return cut(fine.select(F.least("stay", "go").alias("a"), F.greatest("stay", "go").alias("b")).distinct())
+        found = cut(fine.select(F.least("stay", "go").alias("a"), F.greatest("stay", "go").alias("b")).distinct())
+    release(rows.sparkSession)
+    return found
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 4, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -469,7 +474,10 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     roots = connected_components(good)
     mixed = mixed_keys(nodes, distinct, roots)
     for pairs in (star_pairs, unlinked_pairs):
-        more = similar(rows, distinct, cut(pairs(_rooted(mixed, roots), similarity)), width, similarity)
+        release(docs.sparkSession)
+        candidates = cut(pairs(_rooted(mixed, roots), similarity))
+        release(docs.sparkSession)
+        more = similar(rows, distinct, candidates, width, similarity)
         if not more.isEmpty():
             good = good.unionByName(more)
             roots = connected_components(good)

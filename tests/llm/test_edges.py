@@ -183,6 +183,30 @@ def test_every_layout_of_a_host_is_learnt(spark):
     assert all(r.text == " ".join([f"text{r.page_id}"] * (20 + r.page_id % 7)) for r in got)
 
 
+def test_a_constant_notice_goes_and_copies_of_one_article_stay():
+    page = "<body><div class=top-x>Home</div><div class=txt><p>{a}<p>Any use of this needs our leave.<p>{b}</div>"
+    pages = [page.format(a=f"first{i} " * 20, b=f"last{i} " * 30) for i in range(8)]
+    assert extract(pages[3], infer(pages)) == ("first3 " * 20).strip() + "\n" + ("last3 " * 30).strip()
+    alike = [page.format(a="the same " * 20, b=f"last{i} ") for i in range(8)]
+    assert extract(alike[3], infer(alike)).count("\n") == 2  # their text is mostly the same, so that is no notice
+    assert extract(pages[3], infer(pages[:3])).count("\n") == 2  # three pages don't tell
+
+
+def test_names_that_mislead_and_attributes_with_quotes():
+    long = "a sentence about shares " * 12
+    assert extract(f"<article><p>x<section class='share of voice'><p>{long}</section><div class=share>Tweet this</div></article>", None) == "x\n" + long.strip()
+    inside = "<article><p>one<div class='postComments'>no</div><div class='relatedPosts'>no</div><p id=cookieBar>no</p><p>two</article>"
+    assert extract(inside, None) == "one\ntwo"
+    assert extract("<article><p><a href=it's>One</a><p title=\"it's > here\">Two<p data-x='a\"b'>Three</article>", None) == "One\nTwo\nThree"
+
+
+def test_deeply_nested_pages(spark):
+    deep = ["<div>" * 50_000 + "<p>text" + str(i) for i in range(3)] + ["<b>" * 50_000 + f"<p>text{i}</p>" * 50 for i in range(2)] + ["<ul><li>" * 5_000 + "x" + "</b>" * 5_000]
+    rows = [(i, f"http://h{i % 2}.example/x", page) for i, page in enumerate(deep)]
+    got = extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == len(deep) and all("text" in r.text or r.text == "x" for r in got)
+
+
 def test_an_article_in_sibling_containers():
     pages = [f"<body><div class=top-x>Home</div><div class=lead><p>{'lead' + str(i)} {'a ' * 20}</div><div class=rest><p>{'rest' + str(i)} {'b ' * 40}</div>" for i in range(5)]
     got = extract(pages[2], infer(pages)).split("\n")
