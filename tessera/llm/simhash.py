@@ -357,23 +357,26 @@ def same_band_pairs(distinct: DataFrame, radius: int, similarity: float) -> Data
 def mixed_keys(nodes: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, rep, n, pos): the rare shingles that nodes of different groups share, with those nodes.
 
-    Of each shingle only its hash and the least and the greatest of its groups are shuffled; what is left is few.
+    Of each shingle only its hash and the least and the greatest of its groups are shuffled; what is left is few. A node
+    that several tasks have met counts by its first row, which is its ``rep``.
     """
-    of_rep = distinct.select("rep", F.col("node").alias("_node"))
-    linked = cut(roots.join(of_rep, F.col("node") == F.col("rep")).select(F.col("_node").alias("node"), F.xxhash64("root").alias("group")))
-    own = nodes.filter(F.col("rare").isNotNull()).join(_broadcast_few(linked, linked.count()), "node", "left").select("node", "n", "rare", F.coalesce("group", F.xxhash64("node")).alias("group"))
-    both = own.select(F.explode("rare").alias("key"), "group").groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("key")
+    listed = nodes.filter(F.col("rare").isNotNull())
+    again = cut(listed.select("node", "row").join(distinct.select("node", "rep"), "node").filter("row != rep").select("row"))
+    own = listed.join(_broadcast_few(again, again.count()), "row", "left_anti").select(F.col("row").alias("rep"), "n", "rare")
+    linked = cut(roots.select(F.col("node").alias("rep"), F.xxhash64("root").alias("group")))
+    grouped = own.select("rep", "rare").join(_broadcast_few(linked, linked.count()), "rep", "left").select("rare", F.coalesce("group", F.xxhash64("rep")).alias("group"))
+    both = grouped.select(F.explode("rare").alias("key"), "group").groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("key")
     both = cut(both)
-    placed = own.select("node", "n", F.posexplode("rare").alias("pos", "key")).join(_broadcast_few(both, both.count()), "key")
-    # a node that several tasks have met is listed once
-    return written(placed.groupBy("key", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).join(of_rep.withColumnRenamed("_node", "node"), "node").select("key", "rep", "n", "pos"))
+    release(nodes.sparkSession)
+    placed = own.select("rep", "n", F.posexplode("rare").alias("pos", "key"))
+    return written(placed.join(_broadcast_few(both, both.count()), "key").select("key", "rep", "n", "pos"))
 
 
 def _rooted(mixed: DataFrame, roots: DataFrame) -> DataFrame:
     """``mixed`` with each node's root, where a key still has several."""
-    rooted = mixed.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    return written(rooted.join(several, "key"))
+    rooted = mixed.join(_broadcast_few(roots.withColumnRenamed("node", "rep"), roots.count()), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    several = cut(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key"))
+    return written(rooted.join(_broadcast_few(several, several.count()), "key"))
 
 
 def _sharing_enough(x: DataFrame, y: DataFrame, apart: Column, similarity: float) -> DataFrame:
