@@ -10,6 +10,9 @@ TYPE_ALIASES = {
     "int": "integer", "int4": "integer", "int2": "smallint", "int8": "bigint", "float": "double precision", "float8": "double precision", "float4": "real", "serial": "integer", "bigserial": "bigint", "bool": "boolean",
     "character varying": "varchar", "character": "char", "decimal": "numeric", "timestamp": "timestamp without time zone", "timestamptz": "timestamp with time zone", "time": "time without time zone", "timetz": "time with time zone",
 }
+_WORD = r'"?[a-zA-Z_][a-zA-Z0-9_]*"?'
+#: A cast: a type's name, which may be qualified or of several words, with parameters, as an array or not.
+CAST = rf"::\s*{_WORD}(\.{_WORD})?( varying| precision)?(\([0-9, ]*\))?( with(out)? time zone)?(\[\])*"
 #: Functions that stand for the present time.
 NOW = ("now()", "current_timestamp", "current_timestamp()", "localtimestamp", "localtimestamp()", "transaction_timestamp()", "statement_timestamp()", "clock_timestamp()")
 
@@ -41,7 +44,8 @@ def _number(x: str, pattern: str, dialect: str) -> str:
 
 
 def widens_sql(old: str, new: str, dialect: str = "spark") -> str:
-    """Whether a change between normal types keeps every value: longer text, more digits, larger integers."""
+    """Whether a change between normal types counts as widening: longer text, larger integers, a number with no fewer digits
+    in all and behind the point (of which a larger scale may leave fewer before it, as in the rule that this follows)."""
     length = lambda x: _number(x, r"^(?:varchar|char)\(([0-9]+)\)$", dialect)
     precision = lambda x: _number(x, r"^numeric\(([0-9]+)", dialect)
     scale = lambda x: f"coalesce({_number(x, r'^numeric\([0-9]+,([0-9]+)\)$', dialect)}, 0)"
@@ -54,7 +58,7 @@ def widens_sql(old: str, new: str, dialect: str = "spark") -> str:
 
 def default_sql(x: str, dialect: str = "spark") -> str:
     """Without casts; one name for the present time; booleans as one letter."""
-    plain = f"trim({_all(x, r'::[a-zA-Z_ ]+(\([0-9, ]*\))?(\[\])?', '', dialect)})"
+    plain = f"trim({_all(x, CAST, '', dialect)})"
     times = ", ".join(f"'{n}'" for n in NOW)
     return f"CASE WHEN lower({plain}) IN ({times}) THEN 'current_timestamp' WHEN lower({plain}) IN ('true', '''t''') THEN 't' WHEN lower({plain}) IN ('false', '''f''') THEN 'f' ELSE {plain} END"
 
@@ -92,10 +96,12 @@ def interval_sql(x: str, dialect: str = "spark") -> str:
 
 
 def seconds_sql(x: str, dialect: str = "spark") -> str:
-    """Length of an interval of one unit, months as 30 days: for comparing which of two is shorter."""
+    """Length of an interval, all of its units and its clock time added up, months as 30 days: for comparing which of two is
+    shorter."""
     t = f"lower(trim({x}))"
-    n = f"coalesce({_number(t, r'^([0-9]+)', dialect)}, 0)"
-    return f"({n} * CASE WHEN {t} LIKE '%year%' THEN 31536000 WHEN {t} LIKE '%mon%' THEN 2592000 WHEN {t} LIKE '%week%' THEN 604800 WHEN {t} LIKE '%day%' THEN 86400 WHEN {t} LIKE '%hour%' THEN 3600 WHEN {t} LIKE '%min%' THEN 60 ELSE 1 END)"
+    units = {r"([0-9]+) *y(?:ea)?rs?": 31536000, r"([0-9]+) *mon(?:th)?s?": 2592000, r"([0-9]+) *weeks?": 604800, r"([0-9]+) *days?": 86400, r"([0-9]+) *h(?:ou)?rs?": 3600, r"([0-9]+) *min(?:ute)?s?": 60, r"([0-9]+) *sec(?:ond)?s?": 1}
+    units |= {r"([0-9]+):[0-9]+": 3600, r"[0-9]+:([0-9]+)": 60, r"[0-9]+:[0-9]+:([0-9]+)": 1, r"^([0-9]+)$": 1}
+    return "(" + " + ".join(f"coalesce({_number(t, pattern, dialect)}, 0) * {size}" for pattern, size in units.items()) + ")"
 
 
 def body_sql(x: str, dialect: str = "spark") -> str:

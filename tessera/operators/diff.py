@@ -6,6 +6,7 @@ what both have gives one change for each rule that holds. Every change has a typ
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -65,6 +66,18 @@ def _severity(when: str, then: str, otherwise: str) -> str:
     return f"CASE WHEN {when} THEN '{then}' ELSE '{otherwise}' END"
 
 
+def _partitioning(side: str) -> str:
+    return f"{side}.partition_type || ' (' || coalesce({side}.partition_columns, '') || ')'"
+
+
+def _listed(value: Any) -> Any:
+    """Lists and maps as text; what separates entries is marked where it is part of one."""
+    mark = lambda x: re.sub(r"([\\,=])", r"\\\1", str(x))
+    if isinstance(value, dict):
+        return ",".join(f"{mark(a)}={mark(b)}" for a, b in sorted(value.items()))
+    return ",".join(mark(x) if isinstance(x, str) and "," in x else str(x) for x in value) if isinstance(value, list) else value
+
+
 def _comment_rule(change: str, severity: str = f"'{SAFE}'") -> Rule:
     return Rule(change, _norm_differs(N.comment_sql, "comment"), severity, "c.comment", "d.comment")
 
@@ -91,14 +104,17 @@ KINDS: dict[str, Kind] = {
             (Rule("MODIFY_CUSTOM_TYPE", f"c.kind = 'enum' AND {_differs('labels')}", _severity("d.labels LIKE c.labels || ',%'", SAFE, BREAKING), "c.labels", "d.labels"),
              Rule("MODIFY_CUSTOM_TYPE", f"c.kind <> 'enum' AND {_differs('definition')}", f"'{BREAKING}'", "c.definition", "d.definition")),
         ),
-        Kind("sequences", "sequence", ("ADD_SEQUENCE", f"'{SAFE}'"), ("DROP_SEQUENCE", _severity("c.owned_by IS NOT NULL", RISKY, BREAKING)), (Rule("MODIFY_SEQUENCE", " OR ".join(_differs(x) for x in ("increment", "min_value", "max_value", "cycle"))),)),
-        Kind("tables", "table", ("ADD_TABLE", f"'{SAFE}'"), ("DROP_TABLE", f"'{BREAKING}'"), (_comment_rule("MODIFY_TABLE_COMMENT", _severity("d.comment IS NULL", RISKY, SAFE)),)),
+        Kind("sequences", "sequence", ("ADD_SEQUENCE", f"'{SAFE}'"), ("DROP_SEQUENCE", _severity("c.owned_by IS NOT NULL", RISKY, BREAKING)), (Rule("MODIFY_SEQUENCE", " OR ".join(_differs(x) for x in ("start", "increment", "min_value", "max_value", "cache", "cycle"))),)),
+        Kind("tables", "table", ("ADD_TABLE", f"'{SAFE}'"), ("DROP_TABLE", f"'{BREAKING}'"), (_comment_rule("MODIFY_TABLE_COMMENT", _severity("d.comment IS NULL", RISKY, SAFE)),
+             Rule("MODIFY_TABLE_PARTITIONING", f"{_differs('partition_type')} OR {_differs('partition_columns')}", f"'{BREAKING}'", _partitioning("c"), _partitioning("d")))),
         Kind("partitions", "partition", ("ADD_PARTITION", f"'{SAFE}'"), ("DROP_PARTITION", f"'{BREAKING}'"), (Rule("MODIFY_PARTITION", _norm_differs(N.body_sql, "bounds"), f"'{BREAKING}'", "c.bounds", "d.bounds"),)),
         Kind(
             "columns", "column", ("ADD_COLUMN", _severity('NOT d.nullable AND d."default" IS NULL AND d.identity IS NULL AND d.generated IS NULL', MIGRATION, SAFE)), ("DROP_COLUMN", _severity("NOT c.nullable", BREAKING, RISKY)),
             (Rule("MODIFY_COLUMN_TYPE", _differs("norm_type"), _type_severity, "c.type", "d.type"),
              Rule("MODIFY_COLUMN_NULLABILITY", _differs("nullable"), _severity("d.nullable", SAFE, MIGRATION), "CASE WHEN c.nullable THEN 'NULL' ELSE 'NOT NULL' END", "CASE WHEN d.nullable THEN 'NULL' ELSE 'NOT NULL' END"),
              Rule("MODIFY_COLUMN_DEFAULT", _norm_differs(N.default_sql, '"default"'), f"'{SAFE}'", 'c."default"', 'd."default"'),
+             Rule("MODIFY_COLUMN_IDENTITY", _differs("identity"), f"'{RISKY}'", "c.identity", "d.identity"),
+             Rule("MODIFY_COLUMN_GENERATED", _differs("canonical_generated"), _severity("d.generated IS NULL", RISKY, MIGRATION), "c.generated", "d.generated"),
              _comment_rule("MODIFY_COLUMN_COMMENT")),
             inside_tables=True, derived=(("norm_type", lambda q: N.type_sql("type", q)),),
         ),
@@ -108,7 +124,7 @@ KINDS: dict[str, Kind] = {
         Kind("materialized_views", "materialized view", ("ADD_MATERIALIZED_VIEW", f"'{SAFE}'"), ("DROP_MATERIALIZED_VIEW", f"'{BREAKING}'"), (Rule("MODIFY_MATERIALIZED_VIEW", _differs("canonical_definition"), f"'{RISKY}'", "c.definition", "d.definition"), _comment_rule("MODIFY_MATERIALIZED_VIEW"))),
         Kind("functions", "function", ("ADD_FUNCTION", f"'{SAFE}'"), ("DROP_FUNCTION", f"'{BREAKING}'"), (Rule("MODIFY_FUNCTION", _FUNCTION, _severity("c.used_by_trigger", BREAKING, RISKY)), _comment_rule("MODIFY_FUNCTION"))),
         Kind("triggers", "trigger", ("ADD_TRIGGER", f"'{SAFE}'"), ("DROP_TRIGGER", f"'{BREAKING}'"), (Rule("MODIFY_TRIGGER", _TRIGGER, f"'{BREAKING}'", "c.function", "d.function"),), drop_if="NOT c.of_partition"),
-        Kind("hypertables", "hypertable", ("ADD_HYPERTABLE", f"'{SAFE}'"), ("DROP_HYPERTABLE", f"'{BREAKING}'"), (Rule("MODIFY_HYPERTABLE", lambda q: f"{_differs('time_column')} OR {N.interval_sql('c.chunk_interval', q)} IS DISTINCT FROM {N.interval_sql('d.chunk_interval', q)}", f"'{RISKY}'", "c.chunk_interval", "d.chunk_interval"),)),
+        Kind("hypertables", "hypertable", ("ADD_HYPERTABLE", f"'{SAFE}'"), ("DROP_HYPERTABLE", f"'{BREAKING}'"), (Rule("MODIFY_HYPERTABLE", lambda q: f"{_differs('time_column')} OR {_differs('space_column')} OR {_differs('space_partitions')} OR {N.interval_sql('c.chunk_interval', q)} IS DISTINCT FROM {N.interval_sql('d.chunk_interval', q)}", f"'{RISKY}'", "c.chunk_interval", "d.chunk_interval"),)),
         Kind("compression", "compression policy", ("ADD_COMPRESSION_POLICY", f"'{SAFE}'"), ("DROP_COMPRESSION_POLICY", f"'{RISKY}'"), (Rule("MODIFY_COMPRESSION_POLICY", lambda q: f"{_differs('sorted_segment_by')} OR {_differs('order_by')} OR {N.interval_sql('c.compress_after', q)} IS DISTINCT FROM {N.interval_sql('d.compress_after', q)}", f"'{RISKY}'", "c.order_by", "d.order_by"),)),
         Kind("retention", "retention policy", ("ADD_RETENTION_POLICY", f"'{BREAKING}'"), ("DROP_RETENTION_POLICY", f"'{SAFE}'"), (Rule("MODIFY_RETENTION_POLICY", _norm_differs(N.interval_sql, "drop_after"), lambda q: _severity(f"{N.seconds_sql('d.drop_after', q)} < {N.seconds_sql('c.drop_after', q)}", BREAKING, RISKY), "c.drop_after", "d.drop_after"),)),
         Kind("aggregates", "continuous aggregate", ("ADD_CONTINUOUS_AGGREGATE", f"'{SAFE}'"), ("DROP_CONTINUOUS_AGGREGATE", f"'{BREAKING}'"), (Rule("MODIFY_CONTINUOUS_AGGREGATE", f"{_differs('canonical_definition')} OR {_differs('source')}", f"'{BREAKING}'", "c.definition", "d.definition"),)),
@@ -118,6 +134,7 @@ KINDS: dict[str, Kind] = {
 
 #: Columns of the flat rows that rules use beyond the catalog's own.
 _EXTRA: dict[str, tuple[str, ...]] = {
+    "columns": ("canonical_generated string",),
     "constraints": ("canonical_expression string",), "indexes": ("canonical_columns string", "sorted_include string", "canonical_predicate string", "of_constraint boolean"), "views": ("canonical_definition string",),
     "materialized_views": ("canonical_definition string",), "functions": ("used_by_trigger boolean",), "triggers": ("canonical_condition string", "of_partition boolean"), "compression": ("sorted_segment_by string",), "aggregates": ("canonical_definition string",),
 }
@@ -136,9 +153,11 @@ def flat_rows(catalog: Catalog, entity: str) -> list[tuple]:
     """The rows of a kind with canonical forms of what is SQL text, and what other kinds say about them."""
     out = []
     for row in catalog.sorted_rows(entity):
-        r: dict[str, Any] = {k: ",".join(v) if isinstance(v, list) else ",".join(f"{a}={b}" for a, b in sorted(v.items())) if isinstance(v, dict) else v for k, v in row.items()}
+        r: dict[str, Any] = {k: _listed(v) for k, v in row.items()}
         text = lambda x: canonical(x) if x else None
-        if entity == "constraints":
+        if entity == "columns":
+            r["canonical_generated"] = text(row["generated"])
+        elif entity == "constraints":
             r["canonical_expression"] = text(row["expression"])
         elif entity == "indexes":
             r |= {"canonical_columns": ",".join(canonical(c) for c in row["columns"]), "sorted_include": ",".join(sorted(x.lower() for x in row["include"] or [])), "canonical_predicate": text(row["predicate"])}

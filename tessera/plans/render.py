@@ -114,7 +114,7 @@ def trigger_sql(row: Row) -> str:
 
 
 def sequence_sql(row: Row, verb: str = "CREATE") -> str:
-    parts = [f"INCREMENT BY {row['increment']}", f"MINVALUE {row['min_value']}" if row["min_value"] is not None else "NO MINVALUE", f"MAXVALUE {row['max_value']}" if row["max_value"] is not None else "NO MAXVALUE", "CYCLE" if row["cycle"] else "NO CYCLE"]
+    parts = [f"INCREMENT BY {row['increment']}", f"MINVALUE {row['min_value']}" if row["min_value"] is not None else "NO MINVALUE", f"MAXVALUE {row['max_value']}" if row["max_value"] is not None else "NO MAXVALUE", "CYCLE" if row["cycle"] else "NO CYCLE", *([f"START WITH {row['start']}"] if row["start"] is not None else []), *([f"CACHE {row['cache']}"] if row["cache"] is not None else [])]
     return f"{verb} SEQUENCE {_own(row)} {' '.join(parts)};"
 
 
@@ -201,9 +201,19 @@ def _modify(change: Change, noun: str, current: Catalog, desired: Catalog, guard
             return f"{table} ALTER COLUMN {name} {'DROP' if new['nullable'] else 'SET'} NOT NULL;"
         if noun == "COLUMN_DEFAULT":
             return f"{table} ALTER COLUMN {name} " + (f"SET DEFAULT {new['default']};" if new["default"] is not None else "DROP DEFAULT;")
+        if noun == "COLUMN_IDENTITY":
+            if old["identity"] and new["identity"]:
+                return f"{table} ALTER COLUMN {name} SET GENERATED {new['identity']};"
+            return f"{table} ALTER COLUMN {name} " + (f"ADD GENERATED {new['identity']} AS IDENTITY;" if new["identity"] else f"DROP IDENTITY{' IF EXISTS' if guard else ''};")
+        if noun == "COLUMN_GENERATED":
+            if new["generated"] is None:
+                return f"{table} ALTER COLUMN {name} DROP EXPRESSION{' IF EXISTS' if guard else ''};"
+            return f"{table} DROP COLUMN {_if(guard, True)}{name} CASCADE;\n{table} ADD COLUMN {column_sql(new)};"
         return f"COMMENT ON COLUMN {quote(old['schema'])}.{quote(old['table'])}.{name} IS {literal(new['comment'])};"
     if noun == "TABLE_COMMENT":
         return f"COMMENT ON TABLE {_own(r := find(desired, 'TABLE', change.object_name))} IS {literal(r['comment'])};"
+    if noun == "TABLE_PARTITIONING":
+        raise CannotRender(f"the rows of {change.object_name} have to be moved to a new table by hand")
     kind, create, drop = _OBJECTS[noun]
     old, new = find(current, noun, change.object_name), find(desired, noun, change.object_name)
     if noun in ("VIEW", "MATERIALIZED_VIEW", "FUNCTION") and change.old_value != old.get("definition") and old.get("comment") != new.get("comment") and change.severity == "SAFE":
@@ -225,6 +235,11 @@ def _modify(change: Change, noun: str, current: Catalog, desired: Catalog, guard
     if noun == "VIEW" or noun == "FUNCTION" and old["returns"] == new["returns"]:
         return create(new, desired, guard)
     if noun == "HYPERTABLE" and old["time_column"] == new["time_column"]:
+        if old["space_column"] != new["space_column"]:
+            raise CannotRender(f"the space column of {change.object_name} can't be changed in place")
+        if old["space_partitions"] != new["space_partitions"]:
+            name = f"'{new['schema']}.{new['table']}'"
+            return f"SELECT set_number_partitions({name}, {new['space_partitions']});\nSELECT set_chunk_time_interval({name}, INTERVAL '{new['chunk_interval']}');"
         return f"SELECT set_chunk_time_interval('{new['schema']}.{new['table']}', INTERVAL '{new['chunk_interval']}');"
     return f"{drop(old, current, guard)}\n{create(new, desired, guard)}"
 

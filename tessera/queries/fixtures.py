@@ -21,6 +21,7 @@ CREATE TABLE gone (id int PRIMARY KEY, user_id bigint REFERENCES users(id)); COM
 CREATE TABLE readings (ts timestamptz NOT NULL, device_id text NOT NULL, value double precision, quality int);
 CREATE TABLE orders (id bigint, created_at timestamptz NOT NULL, total numeric(12,2)) PARTITION BY RANGE (created_at);
 CREATE TABLE orders_2024 PARTITION OF orders FOR VALUES FROM ('2024-01-01') TO ('2025-01-01'); CREATE TABLE orders_2023 PARTITION OF orders FOR VALUES FROM ('2023-01-01') TO ('2024-01-01');
+CREATE TABLE moved (id bigint GENERATED ALWAYS AS IDENTITY, a int, twice int GENERATED ALWAYS AS (a * 2) STORED, plain int GENERATED ALWAYS AS (a + 1) STORED);
 CREATE TABLE old_points (ts timestamptz NOT NULL, v int);
 CREATE INDEX users_name_idx ON users (name); CREATE UNIQUE INDEX users_nick_uq ON users (nick); CREATE INDEX posts_title_idx ON posts USING btree (lower(title)) WHERE title IS NOT NULL; CREATE INDEX posts_body_idx ON posts (body);
 CREATE VIEW active_users AS SELECT u.id, u.name FROM users u WHERE u.active = true; CREATE VIEW old_view AS SELECT id FROM posts; CREATE VIEW leveled AS SELECT id FROM users WHERE level IN (1);
@@ -50,6 +51,7 @@ CREATE TABLE users (
 COMMENT ON TABLE users IS 'all people'; COMMENT ON COLUMN users.name IS 'full name'; COMMENT ON COLUMN users.email IS 'where to write';
 CREATE TABLE posts (id bigint PRIMARY KEY, user_id bigint NOT NULL REFERENCES users (id) ON DELETE SET NULL, title text, body text, author_id bigint REFERENCES users(id));
 CREATE TABLE tags (id bigint PRIMARY KEY, post_id bigint REFERENCES posts(id), label text NOT NULL); CREATE TABLE audit.log (id bigint PRIMARY KEY, tag_id bigint REFERENCES tags(id), at timestamptz NOT NULL);
+CREATE TABLE moved (id bigint GENERATED BY DEFAULT AS IDENTITY, a int, twice int GENERATED ALWAYS AS (a * 3) STORED, plain int) PARTITION BY RANGE (a);
 CREATE TABLE readings (ts timestamptz NOT NULL, device_id text NOT NULL, value numeric(20,4), quality int);
 CREATE TABLE orders (id bigint, created_at timestamptz NOT NULL, total numeric(12,2)) PARTITION BY RANGE (created_at);
 CREATE TABLE orders_2024 PARTITION OF orders FOR VALUES FROM ('2024-01-01') TO ('2025-07-01'); CREATE TABLE orders_2025 PARTITION OF orders FOR VALUES FROM ('2025-07-01') TO ('2026-01-01');

@@ -9,7 +9,7 @@ from tessera.functions.canonical import canonical, sources
 from tessera.operators import diff as D
 from tessera.operators.ordering import CycleError, components, topological
 from tessera.plans import migrate
-from tessera.plans.render import down, quote, type_sql, up
+from tessera.plans.render import Change, down, quote, type_sql, up
 from tessera.queries.fixtures import CURRENT, current, desired
 from tessera.sources.catalog import Catalog, extract_tables, read_directory, read_json, write_json
 from tessera.sources.ddl import parse, parse_all
@@ -173,3 +173,57 @@ def test_command_line(spark, tmp_path, capsys, sf_dir, monkeypatch):
         assert main(["generate", *both, "--output", str(tmp_path / "m")]) == 0
         assert capsys.readouterr().out.startswith(f"{version}_add_column_nation_note.up.sql")
     assert main(["partition", "t", "--modulus", "2"]) == 0 and capsys.readouterr().out.count("REMAINDER") == 2
+
+
+def changes_of(spark, before: str, after: str):
+    """(change type, severity) of all changes between two texts, and the catalogs."""
+    c, d = parse(before), parse(after)
+    return sorted((r.change_type, r.severity) for r in D.diff(spark, c, d).collect()), c, d
+
+
+@pytest.mark.parametrize(
+    ("before", "after", "want"),
+    [
+        ("CREATE TABLE t (a int, g int GENERATED ALWAYS AS (a*2) STORED)", "CREATE TABLE t (a int, g int GENERATED ALWAYS AS (a * 3) STORED)", [("MODIFY_COLUMN_GENERATED", "DATA_MIGRATION_REQUIRED")]),
+        ("CREATE TABLE t (a int, g int GENERATED ALWAYS AS (a*2) STORED)", "CREATE TABLE t (a int, g int GENERATED ALWAYS AS (a * 2) STORED)", []),
+        ("CREATE TABLE t (k bigint GENERATED ALWAYS AS IDENTITY)", "CREATE TABLE t (k bigint GENERATED BY DEFAULT AS IDENTITY)", [("MODIFY_COLUMN_IDENTITY", "POTENTIALLY_BREAKING")]),
+        ("CREATE TABLE t (a int)", "CREATE TABLE t (a int) PARTITION BY RANGE (a)", [("MODIFY_TABLE_PARTITIONING", "BREAKING")]),
+        ("CREATE TABLE t (a bigint DEFAULT 0::int8, b text DEFAULT 'new'::public.status, c text DEFAULT 'x'::character varying)", "CREATE TABLE t (a bigint DEFAULT 0, b text DEFAULT 'new', c text DEFAULT 'x')", []),
+        ("CREATE TABLE t (a timestamptz DEFAULT now()::timestamp without time zone, b numeric DEFAULT 8::numeric(10, 2))", "CREATE TABLE t (a timestamptz DEFAULT now(), b numeric DEFAULT 8)", []),
+        ("CREATE SEQUENCE s START WITH 1 CACHE 1", "CREATE SEQUENCE s START WITH 5 CACHE 1", [("MODIFY_SEQUENCE", "SAFE")]),
+        ("CREATE TABLE t (a int); SELECT add_retention_policy('t', INTERVAL '36:00:00')", "CREATE TABLE t (a int); SELECT add_retention_policy('t', INTERVAL '1 hour')", [("MODIFY_RETENTION_POLICY", "BREAKING")]),
+        ("CREATE TABLE t (a int); SELECT add_retention_policy('t', INTERVAL '1 day')", "CREATE TABLE t (a int); SELECT add_retention_policy('t', INTERVAL '1 day 12 hours')", [("MODIFY_RETENTION_POLICY", "POTENTIALLY_BREAKING")]),
+    ],
+)
+def test_what_is_a_change(spark, before, after, want):
+    assert changes_of(spark, before, after)[0] == want
+
+
+def test_new_changes_are_rendered(spark):
+    before = "CREATE TABLE t (a int, k bigint GENERATED ALWAYS AS IDENTITY, g int GENERATED ALWAYS AS (a * 2) STORED)"
+    after = "CREATE TABLE t (a int, k bigint GENERATED BY DEFAULT AS IDENTITY, g int) PARTITION BY RANGE (a)"
+    c, d = parse(before), parse(after)
+    rows = {r.change_type: r for r in D.diff(spark, c, d).collect()}
+    changes = {k: Change(**r.asDict()) for k, r in rows.items()}
+    assert up(changes["MODIFY_COLUMN_IDENTITY"], c, d).sql == "ALTER TABLE public.t ALTER COLUMN k SET GENERATED BY DEFAULT;"
+    assert up(changes["MODIFY_COLUMN_GENERATED"], c, d).sql == "ALTER TABLE public.t ALTER COLUMN g DROP EXPRESSION IF EXISTS;"
+    assert "by hand" in down(changes["MODIFY_TABLE_PARTITIONING"], c, d).sql
+
+
+def test_one_statement_that_is_wrong_leaves_the_others():
+    catalog, errors = parse_all([("a.sql", "CREATE TABLE a (x int); CREATE TABLE b (x; CREATE TABLE c (x int) INHERITS (a); COMMENT ON CONSTRAINT k ON a IS 'why';"), ("b.sql", "CREATE INDEX ON; CREATE TABLE d (x int)")])
+    assert {"d"} <= {r["name"] for r in catalog.rows["tables"]} and any(e.startswith("b.sql") for e in errors)
+    catalog, errors = parse_all([("a.sql", "CREATE TABLE a (x int); CREATE VIEW; CREATE TABLE c (x int) INHERITS (a); COMMENT ON CONSTRAINT k ON a IS 'why'; COMMENT ON TABLE c IS 'kept'")])
+    assert [r["name"] for r in catalog.rows["tables"]] == ["a", "c"] and len(errors) == 1 and catalog.rows["tables"][1]["comment"] == "kept"
+    assert any("INHERITS" in r["message"] for r in catalog.rows["warnings"])
+
+
+def test_levels_of_long_chains_and_many_paths(spark):
+    from tessera.operators.ordering import levels
+
+    edges = [(i + 1, i) for i in range(300)] + [(1000 + 2 * i + a, 1000 + 2 * i - 2 + b) for i in range(1, 30) for a in (0, 1) for b in (0, 1)]
+    ids = sorted({x for e in edges for x in e})
+    got = {r.id: r.level for r in levels(spark, spark.createDataFrame([(i,) for i in ids], "id bigint"), spark.createDataFrame(edges, "waits bigint, waits_for bigint")).collect()}
+    assert got == {i: i if i < 1000 else (i - 1000) // 2 for i in ids}
+    with pytest.raises(CycleError):
+        levels(spark, spark.range(2), spark.createDataFrame([(0, 1), (1, 0)], "waits bigint, waits_for bigint"))
