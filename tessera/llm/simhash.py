@@ -379,32 +379,33 @@ def _rooted(mixed: DataFrame, roots: DataFrame) -> DataFrame:
     return written(rooted.join(_broadcast_few(several, several.count()), "key"))
 
 
-def _sharing_enough(x: DataFrame, y: DataFrame, apart: Column, similarity: float) -> DataFrame:
-    """(a, b): nodes of ``x`` and ``y`` (key, rep, n, pos, root) that share as many keys as similar ones do, which are counted
-    before anything of their texts is looked at; beyond their last common key they share at most what follows in both."""
+def _fits(similarity: float) -> Column:
+    """Whether ``x`` and ``y`` (n, pos), which have a key in common, may be similar by their sizes and the places of that key."""
     n, m = F.col("x.n"), F.col("y.n")
-    # what two sets can share at most, by the places of one key that both have
     most = 1 + F.least("x.pos", "y.pos") + F.least(n - F.col("x.pos") - 1, m - F.col("y.pos") - 1)
-    near = _sizes_fit(n, m, similarity) & (most * (1 + similarity) >= similarity * (n + m) - 1e-6)
-    rows = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & apart & near)
-    counted = rows.groupBy(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).agg(
-        F.count("*").alias("shared"), F.max(n).alias("n"), F.max(m).alias("m"), F.min(n - F.col("x.pos") - 1).alias("p"), F.min(m - F.col("y.pos") - 1).alias("q")
-    )
-    enough = F.col("shared") >= F.least(least_shared(F.col("n")), least_shared(F.col("m")))
-    most = F.col("shared") + F.least("p", "q")
-    return counted.filter(enough & (most * (1 + similarity) >= similarity * (F.col("n") + F.col("m")) - 1e-6)).select("a", "b")
+    return _sizes_fit(n, m, similarity) & (most * (1 + similarity) >= similarity * (n + m) - 1e-6)
 
 
 def star_pairs(rooted: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the least node of each rare shingle with others that may be similar to it and aren't in its group."""
-    one = written(rooted.groupBy("key").agg(F.min("rep").alias("first")).select("first").distinct())
-    firsts = rooted.join(_broadcast_few(one, one.count()), F.col("rep") == F.col("first")).drop("first")
-    return _sharing_enough(rooted, firsts, F.col("x.rep") > F.col("y.rep"), similarity)
+    """(a, b): the least node of each rare shingle with those others that have it, may be similar and aren't in its group:
+    no more rows than the shingles have, however large their groups are."""
+    one = rooted.groupBy("key").agg(F.min(F.struct("rep", "n", "pos", "root")).alias("c")).select("key", "c.*")
+    rows = rooted.alias("x").join(one.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _fits(similarity))
+    return rows.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct()
 
 
 def unlinked_pairs(rooted: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of nodes that share enough rare shingles and aren't in one group."""
-    return _sharing_enough(rooted, rooted, F.col("x.rep") > F.col("y.rep"), similarity)
+    """(a, b): all nodes of different groups that share as many rare shingles as similar ones do, which are counted before
+    anything of their texts is looked at; beyond their last common shingle they share at most what follows in both."""
+    n, m = F.col("x.n"), F.col("y.n")
+    apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.rep") > F.col("y.rep"))
+    rows = rooted.alias("x").join(rooted.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & _fits(similarity))
+    counted = rows.groupBy(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).agg(
+        F.count("*").alias("shared"), F.max(n).alias("n"), F.max(m).alias("m"), F.min(n - F.col("x.pos") - 1).alias("p"), F.min(m - F.col("y.pos") - 1).alias("q")
+    )
+    enough = F.col("shared") >= F.least(least_shared(F.col("n")), least_shared(F.col("m")))
+    most = F.col("shared") + F.least("p", "q")
+    return counted.filter(enough & (most * (1 + similarity) >= similarity * (F.col("n") + F.col("m")) - 1e-6)).select("a", "b")
 
 
 def similar(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
