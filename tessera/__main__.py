@@ -12,8 +12,10 @@ from tessera.operators import diff as D
 from tessera.operators.partitions import partition_ddl
 from tessera.plans import migrate
 from tessera.session import session
+from tessera.sources import server
 from tessera.sources.catalog import Catalog, extract_tables, read_directory, read_json
 from tessera.sources.ddl import parse_all
+from tessera.sources.scans import read_information_schema
 
 #: More hash partitions than this are hardly of use.
 MANY_PARTITIONS = 1024
@@ -31,8 +33,10 @@ def _desired(spark: SparkSession, folder: str) -> Catalog:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tessera", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    extract = commands.add_parser("extract", help="the catalog of Parquet tables as JSON")
-    extract.add_argument("tables", nargs="+", help="NAME=PATH of each table, or paths whose last part names the table")
+    extract = commands.add_parser("extract", help="the catalog of Parquet tables, or of a server, as JSON")
+    extract.add_argument("--jdbc", metavar="URL", help="a server to extract instead; credentials may be part of the address")
+    extract.add_argument("--exclude", action="append", default=[], metavar="SCHEMA", help="a schema of the server to leave out")
+    extract.add_argument("tables", nargs="*", help="NAME=PATH of each table, or paths whose last part names the table")
     extract.add_argument("--output", help="a file; standard output without it")
     for name, text in (("diff", "what differs between a stored catalog and a folder of SQL text"), ("generate", "migration files that lead from one to the other")):
         c = commands.add_parser(name, help=text)
@@ -51,10 +55,16 @@ def main(argv: list[str] | None = None) -> int:
     part.add_argument("--schema", default="public")
     part.add_argument("--modulus", type=int, required=True)
     args = parser.parse_args(argv)
+    if args.command == "extract" and bool(args.jdbc) == bool(args.tables):
+        parser.error("extract takes tables or --jdbc")
     spark = session()
     if args.command == "extract":
         pairs = (t.split("=", 1) if "=" in t else (os.path.basename(t.rstrip("/")).removesuffix(".parquet"), t) for t in args.tables)
-        text = extract_tables({n: spark.read.parquet(p) for n, p in pairs}).to_json()
+        if args.jdbc:
+            found = server.extract(read_information_schema(spark, args.jdbc), server.read_server(spark, args.jdbc), args.exclude)
+        else:
+            found = extract_tables({n: spark.read.parquet(p) for n, p in pairs})
+        text = found.to_json()
         if args.output:
             with open(args.output, "w") as out:
                 out.write(text + "\n")

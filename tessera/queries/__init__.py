@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tessera.queries import catalogs, quality, series, views  # noqa: F401
+from tessera.queries import catalogs, quality, series, server, views  # noqa: F401
 from tessera.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
