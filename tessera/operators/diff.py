@@ -98,11 +98,12 @@ KINDS: dict[str, Kind] = {
     k.entity: k
     for k in (
         Kind("schemas", "schema", ("ADD_SCHEMA", f"'{SAFE}'"), ("DROP_SCHEMA", f"'{BREAKING}'"), drop_if="c.name <> 'public'"),
-        Kind("extensions", "extension", ("ADD_EXTENSION", f"'{SAFE}'"), ("DROP_EXTENSION", f"'{BREAKING}'"), (Rule("MODIFY_EXTENSION", f"{_differs('schema')} OR (d.version IS NOT NULL AND {_differs('version')})", f"'{RISKY}'", "c.version", "d.version"),)),
+        Kind("extensions", "extension", ("ADD_EXTENSION", f"'{SAFE}'"), ("DROP_EXTENSION", f"'{BREAKING}'"), (Rule("MODIFY_EXTENSION", f"{_differs('schema')} OR (d.version IS NOT NULL AND {_differs('version')})", f"'{RISKY}'", "c.version", "d.version"), _comment_rule("MODIFY_EXTENSION_COMMENT"))),
         Kind(
             "types", "type", ("ADD_CUSTOM_TYPE", f"'{SAFE}'"), ("DROP_CUSTOM_TYPE", f"'{BREAKING}'"),
             (Rule("MODIFY_CUSTOM_TYPE", f"c.kind = 'enum' AND {_differs('labels')}", _severity("d.labels LIKE c.labels || ',%'", SAFE, BREAKING), "c.labels", "d.labels"),
-             Rule("MODIFY_CUSTOM_TYPE", f"c.kind <> 'enum' AND {_differs('definition')}", f"'{BREAKING}'", "c.definition", "d.definition")),
+             Rule("MODIFY_CUSTOM_TYPE", f"c.kind <> 'enum' AND {_differs('definition')}", f"'{BREAKING}'", "c.definition", "d.definition"),
+             _comment_rule("MODIFY_CUSTOM_TYPE_COMMENT")),
         ),
         Kind("sequences", "sequence", ("ADD_SEQUENCE", f"'{SAFE}'"), ("DROP_SEQUENCE", _severity("c.owned_by IS NOT NULL", RISKY, BREAKING)), (Rule("MODIFY_SEQUENCE", " OR ".join(_differs(x) for x in ("start", "increment", "min_value", "max_value", "cache", "cycle"))),)),
         Kind("tables", "table", ("ADD_TABLE", f"'{SAFE}'"), ("DROP_TABLE", f"'{BREAKING}'"), (_comment_rule("MODIFY_TABLE_COMMENT", _severity("d.comment IS NULL", RISKY, SAFE)),

@@ -124,6 +124,12 @@ def type_sql(row: Row) -> str:
     return f"CREATE TYPE {_own(row)} AS ENUM ({', '.join(map(literal, row['labels']))});" if row["kind"] == "enum" else f"CREATE TYPE {_own(row)} AS {row['definition']};"
 
 
+def comment_sql(noun: str, row: Row) -> str:
+    """The comment on a type, a domain or an extension."""
+    what = f"EXTENSION {quote(row['name'])}" if noun == "EXTENSION" else f"{'DOMAIN' if row['kind'] == 'domain' else 'TYPE'} {_own(row)}"
+    return f"COMMENT ON {what} IS {literal(row['comment'])};"
+
+
 def _hypertable_sql(row: Row) -> str:
     space = f", partitioning_column => {literal(row['space_column'])}, number_partitions => {row['space_partitions']}" if row["space_column"] else ""
     return f"SELECT create_hypertable('{row['schema']}.{row['table']}', {literal(row['time_column'])}, chunk_time_interval => INTERVAL '{row['chunk_interval']}'{space});"
@@ -176,8 +182,32 @@ def find(catalog: Catalog, noun: str, name: str) -> Row:
     raise CannotRender(f"{noun} {name} isn't in the catalog")
 
 
+#: Changes of a table that can't be made while its chunks are compressed.
+_UNCOMPRESSED = ("ADD_COLUMN", "DROP_COLUMN", "MODIFY_COLUMN_DEFAULT", "MODIFY_COLUMN_TYPE", "MODIFY_COLUMN_NULLABILITY", "MODIFY_COLUMN_IDENTITY", "MODIFY_COLUMN_GENERATED", "ADD_CONSTRAINT", "DROP_CONSTRAINT", "MODIFY_CONSTRAINT")
+
+
+def _compression(catalog: Catalog, table: str | None) -> Row | None:
+    return next((r for r in catalog.rows["compression"] if f"{r['schema']}.{r['table']}" == table), None)
+
+
+def uncompressed(statement: Statement, table: str, stays: Row | None) -> Statement:
+    """A statement between taking a table's compression off and putting it on again, with the settings that are to be; chunks
+    that are compressed already are left to the one who runs it, as that may take long."""
+    name = qualified(table)
+    by_hand = f"SELECT decompress_chunk(c, true) FROM show_chunks('{table}') c;"
+    parts = [f"-- chunks of {table} that are compressed have to be decompressed first, which may take long:", f"--   {by_hand}", f"ALTER TABLE {name} SET (timescaledb.compress = false);", statement.sql]
+    return Statement("\n".join(parts + ([compression_sql(stays | {"compress_after": None})] if stays else [])), True, statement.note)
+
+
 def up(change: Change, current: Catalog, desired: Catalog, guard: bool = True) -> Statement:
-    """The statement that makes a change."""
+    """The statement that makes a change; where the table is compressed, compression is off meanwhile."""
+    statement = _up(change, current, desired, guard)
+    if change.change_type in _UNCOMPRESSED and _compression(current, change.table_name):
+        return uncompressed(statement, change.table_name, _compression(desired, change.table_name))
+    return statement
+
+
+def _up(change: Change, current: Catalog, desired: Catalog, guard: bool) -> Statement:
     verb, _, noun = change.change_type.partition("_")
     unsafe = change.severity != "SAFE"
     if verb in ("ADD", "DROP"):
@@ -185,6 +215,8 @@ def up(change: Change, current: Catalog, desired: Catalog, guard: bool = True) -
         row = find(catalog, noun, change.object_name)
         sql = _OBJECTS[noun][1 if verb == "ADD" else 2](row, catalog, guard)
         comments = [f"COMMENT ON {noun.replace('_', ' ')} {_own(row)} IS {literal(row['comment'])};"] if verb == "ADD" and noun in ("TABLE", "VIEW", "MATERIALIZED_VIEW") and row.get("comment") else []
+        if verb == "ADD" and noun in ("CUSTOM_TYPE", "EXTENSION") and row.get("comment"):
+            comments.append(comment_sql(noun, row))
         if verb == "ADD" and noun == "TABLE":
             comments += [f"COMMENT ON COLUMN {_own(row)}.{quote(c['name'])} IS {literal(c['comment'])};" for c in catalog.sorted_rows("columns") if (c["schema"], c["table"]) == (row["schema"], row["name"]) and c["comment"]]
         return Statement("\n".join([sql, *comments]), unsafe, f"{verb.lower()} {change.object_type} {change.object_name}")
@@ -214,11 +246,13 @@ def _modify(change: Change, noun: str, current: Catalog, desired: Catalog, guard
         return f"COMMENT ON TABLE {_own(r := find(desired, 'TABLE', change.object_name))} IS {literal(r['comment'])};"
     if noun == "TABLE_PARTITIONING":
         raise CannotRender(f"the rows of {change.object_name} have to be moved to a new table by hand")
-    kind, create, drop = _OBJECTS[noun]
-    old, new = find(current, noun, change.object_name), find(desired, noun, change.object_name)
+    kind, create, drop = _OBJECTS[noun.removesuffix("_COMMENT")]
+    old, new = (find(c, noun.removesuffix("_COMMENT"), change.object_name) for c in (current, desired))
     if noun in ("VIEW", "MATERIALIZED_VIEW", "FUNCTION") and change.old_value != old.get("definition") and old.get("comment") != new.get("comment") and change.severity == "SAFE":
         what = f"{_own(new)}({new['arg_types']})" if noun == "FUNCTION" else _own(new)
         return f"COMMENT ON {noun.replace('_', ' ')} {what} IS {literal(new['comment'])};"
+    if noun in ("CUSTOM_TYPE_COMMENT", "EXTENSION_COMMENT"):
+        return comment_sql(noun.removesuffix("_COMMENT"), new)
     if noun == "EXTENSION":
         parts = [f"ALTER EXTENSION {quote(new['name'])} SET SCHEMA {quote(new['schema'])};"] if new["schema"] and new["schema"] != old["schema"] else []
         return "\n".join(parts + ([f"ALTER EXTENSION {quote(new['name'])} UPDATE TO {literal(new['version'])};"] if new["version"] and new["version"] != old["version"] else [])) or f"-- nothing to alter in extension {new['name']}"

@@ -118,6 +118,25 @@ def migration_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f.name, f.content) for f in files], "name string, content string")
 
 
+@query()
+def migration_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of each file in order."""
+    rows = [(version, place, c.change_type, c.object_name) for version, _, several in migrate.numbered(spark, current(), desired()) for place, c in enumerate(several)]
+    return spark.createDataFrame(rows, "version int, place int, change_type string, object_name string")
+
+
+@query()
+def migration_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = migrate.numbered(spark, current(), desired())
+    return spark.createDataFrame([(v, migrate.file_name(v, name, "up"), len(several)) for v, name, several in files], "version int, name string, changes int")
+
+
+@query(" UNION ALL ".join(f"SELECT '{e}' AS entity, count(*) AS n FROM {_flat_sql(desired(), e)} t" for e in D.KINDS))
+def catalog_entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = desired().counts()
+    return spark.createDataFrame([(e, counts[e]) for e in D.KINDS], "entity string, n bigint")
+
+
 # ---- normal forms
 
 _SAMPLES = {

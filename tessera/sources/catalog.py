@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 VERSION = "1.0"
 SCHEMAS: dict[str, str] = {
     "schemas": "name string",
-    "extensions": "name string, schema string, version string",
-    "types": "schema string, name string, kind string, definition string, labels array<string>",
+    "extensions": "name string, schema string, version string, comment string",
+    "types": "schema string, name string, kind string, definition string, labels array<string>, comment string",
     "sequences": "schema string, name string, start bigint, min_value bigint, max_value bigint, increment bigint, cache bigint, cycle boolean, owned_by string",
     "tables": "schema string, name string, comment string, partition_type string, partition_columns array<string>",
     "partitions": "schema string, name string, parent string, bounds string",
@@ -69,6 +69,10 @@ class Catalog:
     def frames(self, spark: SparkSession) -> dict[str, DataFrame]:
         return {kind: self.frame(spark, kind) for kind in SCHEMAS}
 
+    def counts(self) -> dict[str, int]:
+        """How many entities of each kind there are, kinds without any too."""
+        return {kind: len(self.rows[kind]) for kind in SCHEMAS if kind != "warnings"}
+
     def to_json(self) -> str:
         return json.dumps({"version": VERSION} | {kind: self.sorted_rows(kind) for kind in SCHEMAS if self.rows[kind]}, indent=2, ensure_ascii=False)
 
@@ -119,6 +123,24 @@ def declared_type(spark_type: str) -> str:
     return _TYPES.get(spark_type, spark_type)
 
 
+#: Folders of a schema's sources, in the order in which they are read.
+FOLDERS = ("schemas", "extensions", "types", "sequences", "tables", "views", "materialized_views", "functions", "triggers", "hypertables", "policies")
+
+
+def read_folders(spark: SparkSession, path: str, folders: tuple[str, ...] = FOLDERS) -> list[tuple[str, str]]:
+    """(path, text) of the ``.sql`` files in fixed folders below one, folder by folder; other folders are left out, those
+    that aren't there are empty."""
+    below = len(path.rstrip("/").split("/")) if "://" not in path else None
+    rank = {f: i for i, f in enumerate(folders)}
+    out = []
+    for where, text in read_directory(spark, path):
+        steps = where.removeprefix("file://").split("/") if below is not None else where.removeprefix(path.rstrip("/") + "/").split("/")
+        folder = steps[below or 0] if len(steps) > (below or 0) + 1 else ""
+        if folder in rank:
+            out.append((rank[folder], where, text))
+    return [(where, text) for _, where, text in sorted(out)]
+
+
 def extract_tables(tables: dict[str, DataFrame], schema: str = "public") -> Catalog:
     """The catalog of DataFrames: what tables there are and what their columns are, without reading a row."""
     catalog = Catalog()

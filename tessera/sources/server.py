@@ -39,8 +39,8 @@ RELATIONS: dict[str, str] = {
     "pg_depend": "objid bigint, refobjid bigint, refobjsubid int, deptype string",
     "pg_trigger": "oid bigint, tgname string, tgrelid bigint, tgfoid bigint, tgtype int, tgattr array<int>,"
     " tgisinternal boolean, definition string",
-    "pg_extension": "oid bigint, extname string, extnamespace bigint, extversion string",
-    "pg_type": "oid bigint, typname string, typnamespace bigint, typtype string, typrelid bigint, definition string",
+    "pg_extension": "oid bigint, extname string, extnamespace bigint, extversion string, comment string",
+    "pg_type": "oid bigint, typname string, typnamespace bigint, typtype string, typrelid bigint, definition string, comment string",
     "pg_enum": "enumtypid bigint, enumlabel string, enumsortorder double",
     "pg_sequence": "seqrelid bigint, seqstart bigint, seqmin bigint, seqmax bigint, seqincrement bigint, seqcache bigint,"
     " seqcycle boolean",
@@ -71,6 +71,8 @@ DEPARSED: dict[tuple[str, str], str] = {
     ("pg_proc", "returns"): "pg_get_function_result(oid)",
     ("pg_proc", "comment"): "obj_description(oid, 'pg_proc')",
     ("pg_trigger", "definition"): "pg_get_triggerdef(oid)",
+    ("pg_extension", "comment"): "obj_description(oid, 'pg_extension')",
+    ("pg_type", "comment"): "obj_description(oid, 'pg_type')",
     ("pg_type", "definition"): "CASE typtype WHEN 'd' THEN format_type(typbasetype, typtypmod) WHEN 'c' THEN"
     " (SELECT '(' || string_agg(attname || ' ' || format_type(atttypid, atttypmod), ', ' ORDER BY attnum) || ')'"
     " FROM pg_attribute WHERE attrelid = typrelid AND NOT attisdropped) END",
@@ -234,7 +236,7 @@ def scan_extensions(found: Found, without: Sequence[str] = ("plpgsql",)) -> Data
     spaces = found["pg_namespace"].select(F.col("oid").alias("extnamespace"), F.col("nspname").alias("schema"))
     rows = found["pg_extension"].join(spaces, "extnamespace")
     rows = rows.filter(~F.col("extname").isin(*without)) if without else rows
-    return rows.select(F.col("extname").alias("name"), "schema", F.col("extversion").alias("version"))
+    return rows.select(F.col("extname").alias("name"), "schema", F.col("extversion").alias("version"), "comment")
 
 
 def scan_types(found: Found, exclude: Sequence[str] = ()) -> DataFrame:
@@ -242,7 +244,7 @@ def scan_types(found: Found, exclude: Sequence[str] = ()) -> DataFrame:
     relations = found["pg_class"].filter(F.col("relkind").isin("r", "v", "m", "f", "p")).select(F.col("relnamespace").alias("typnamespace"), F.col("relname").alias("typname"))
     own = _placed(found, "pg_type", "typnamespace", exclude).filter(F.col("typtype").isin(*TYPES)).join(relations, ["typnamespace", "typname"], "left_anti")
     labels = found["pg_enum"].groupBy(F.col("enumtypid").alias("oid")).agg(F.array_sort(F.collect_list(F.struct("enumsortorder", "enumlabel")))["enumlabel"].alias("labels"))
-    return own.join(labels, "oid", "left").select("schema", F.col("typname").alias("name"), _letter("typtype", TYPES).alias("kind"), "definition", _or_none("labels"))
+    return own.join(labels, "oid", "left").select("schema", F.col("typname").alias("name"), _letter("typtype", TYPES).alias("kind"), "definition", _or_none("labels"), "comment")
 
 
 def scan_sequences(found: Found, exclude: Sequence[str] = ()) -> DataFrame:
