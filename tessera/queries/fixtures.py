@@ -48,7 +48,7 @@ CREATE TABLE users (
   id bigserial PRIMARY KEY, name varchar(100) NOT NULL, email varchar(255) UNIQUE, age int8 CHECK (age >= 0), code varchar(10), amount decimal(12, 2), note text,
   created_at TIMESTAMPTZ DEFAULT CURRENT_TIMESTAMP, active boolean DEFAULT false, level integer NOT NULL, city text NOT NULL, zip text DEFAULT '', CONSTRAINT level_ok CHECK (level >= 1 AND level <= 20),
   CONSTRAINT city_set CHECK (city IS NOT NULL), CONSTRAINT age_key UNIQUE (age));
-COMMENT ON TABLE users IS 'all people'; COMMENT ON COLUMN users.name IS 'full name'; COMMENT ON COLUMN users.email IS 'where to write';
+COMMENT ON TYPE status IS 'where it stands'; COMMENT ON EXTENSION citext IS 'text of any case'; COMMENT ON TABLE users IS 'all people'; COMMENT ON COLUMN users.name IS 'full name'; COMMENT ON COLUMN users.email IS 'where to write';
 CREATE TABLE posts (id bigint PRIMARY KEY, user_id bigint NOT NULL REFERENCES users (id) ON DELETE SET NULL, title text, body text, author_id bigint REFERENCES users(id));
 CREATE TABLE tags (id bigint PRIMARY KEY, post_id bigint REFERENCES posts(id), label text NOT NULL); CREATE TABLE audit.log (id bigint PRIMARY KEY, tag_id bigint REFERENCES tags(id), at timestamptz NOT NULL);
 CREATE TABLE moved (id bigint GENERATED BY DEFAULT AS IDENTITY, a int, twice int GENERATED ALWAYS AS (a * 3) STORED, plain int) PARTITION BY RANGE (a);
