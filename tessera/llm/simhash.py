@@ -412,7 +412,9 @@ def similar(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, width: int,
     """Those of the stored (a, b) ``pairs`` of nodes whose shingle sets are at least so similar (Jaccard), on whole sets.
 
     Texts aren't shuffled for the sake of ids, unless these are many. Of each pair the set of the node with fewer partners
-    travels to the other, so that no set is sent about for each of the thousands of partners that a node may have.
+    travels to the other, so that no set is sent about for each of the thousands of partners that a node may have. Only 16
+    bits of each hash travel at first. Shingles that differ may agree in these, so pairs seem more similar than they are,
+    never less: what isn't similar by these bits isn't similar, and the whole hashes of the other pairs decide.
     """
     n_pairs = pairs.count()
     if not n_pairs:
@@ -421,11 +423,25 @@ def similar(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, width: int,
     ends = cut(ends.join(distinct.select("rep", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash")), "rep"))
     known = lambda c: ends.select(F.col("rep").alias(c), F.col("partners").alias(f"n_{c}"))
     sided = pairs.join(known("a"), "a").join(known("b"), "b")
-    sided = sided.select(*(F.when(F.col("n_a") >= F.col("n_b"), F.col(x)).otherwise(F.col(y)).alias(c) for c, x, y in (("stay", "a", "b"), ("go", "b", "a"))))
-    go = cut(sided.groupBy("go").agg(F.collect_list("stay").alias("to")).join(ends.withColumnRenamed("rep", "go"), "go").select("_id", "_hash", F.col("go").alias("rep"), "to"))
-    stay = ends.join(sided.select(F.col("stay").alias("rep")).distinct(), "rep").select("_id", "_hash", "rep", F.array("rep").alias("to"))
+    sided = cut(sided.select(*(F.when(F.col("n_a") >= F.col("n_b"), F.col(x)).otherwise(F.col(y)).alias(c) for c, x, y in (("stay", "a", "b"), ("go", "b", "a")))))
+    with small_batches(rows.sparkSession):
+        for bits in (np.uint16, np.uint64):
+            sided = _similar_by(bits, rows, ends, sided, width, similarity)
+            release(rows.sparkSession)
+    return sided.select(F.least("stay", "go").alias("a"), F.greatest("stay", "go").alias("b"))
+
 
-    def sets(wanted: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+def _similar_by(bits: type, rows: DataFrame, ends: DataFrame, sided: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those stored (stay, go) pairs that may be similar by the lowest ``bits`` of their hashes; with all bits those that are."""
+    n_pairs = sided.count()
+    if not n_pairs:
+        return sided
+    nodes = ends.select("_id", "_hash", "rep")
+    go = cut(sided.groupBy("go").agg(F.collect_list("stay").alias("to")).withColumnRenamed("go", "rep").join(nodes, "rep").select("_id", "_hash", "rep", "to"))
+    stay = nodes.join(sided.select(F.col("stay").alias("rep")).distinct(), "rep").select("_id", "_hash", "rep", F.array("rep").alias("to"))
+    kind = "smallint" if bits is np.uint16 else "bigint"
+
+    def sets(wanted: DataFrame, names: tuple[str, str, str, str]) -> DataFrame:
         here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
         texts = rows.join(_broadcast_few(wanted, n_pairs), here).select("rep", "to", "text")
 
@@ -436,23 +452,22 @@ def similar(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, width: int,
                     if rep in met:  # another row of the same id and text
                         continue
                     met.add(rep)
-                    hashes = np.unique(shingle_hashes(words_of(text.as_py()), width)).view(np.int64)
+                    hashes = np.unique(shingle_hashes(words_of(text.as_py()), width))
+                    n = len(hashes)
+                    hashes = np.unique(hashes.astype(bits)).view(np.int16 if bits is np.uint16 else np.int64)
                     step = max(1, SET_BYTES // max(1, hashes.nbytes))
                     for at in range(0, len(to.values), step):
                         some = to.values.slice(at, step)
                         many = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * len(hashes), np.tile(hashes, len(some)))
-                        yield pa.RecordBatch.from_arrays([some, pa.array(np.full(len(some), rep)), many], list(names))
+                        yield pa.RecordBatch.from_arrays([some, pa.array(np.full(len(some), rep)), many, pa.array(np.full(len(some), n, np.int32))], list(names))
 
-        return texts.mapInArrow(run, f"{names[0]} bigint, {names[1]} bigint, {names[2]} array<bigint>")
+        return texts.mapInArrow(run, f"{names[0]} bigint, {names[1]} bigint, {names[2]} array<{kind}>, {names[3]} int")
 
-    with small_batches(rows.sparkSession):
-        left, right = sets(go, ("stay", "go", "x")), sets(stay, ("stay", "_stay", "y")).drop("_stay")
-        both = F.size(F.array_intersect("x", "y"))
-        union = F.size("x") + F.size("y") - both
-        fine = left.join(right, "stay").filter((union == 0) | (both >= similarity * union - 1e-9))
-        found = cut(fine.select(F.least("stay", "go").alias("a"), F.greatest("stay", "go").alias("b")).distinct())
-    release(rows.sparkSession)
-    return found
+    left, right = sets(go, ("stay", "go", "x", "n_x")), sets(stay, ("stay", "_stay", "y", "n_y")).drop("_stay")
+    # of several hashes with the same bits all but one may be shared, too
+    both = F.size(F.array_intersect("x", "y")) + F.least(F.col("n_x") - F.size("x"), F.col("n_y") - F.size("y"))
+    union = F.col("n_x") + F.col("n_y") - both
+    return cut(left.join(right, "stay").filter((union <= 0) | (both >= similarity * union - 1e-9)).select("stay", "go").distinct())
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 4, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -474,8 +489,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("one")
     distinct = written(nodes.groupBy("node").agg(F.min("row").alias("rep"), one, F.max("n").alias("n"), F.first("prints", ignorenulls=True).alias("prints")))
     # representatives first, so that the members of a large group aren't all paired with all
-    good = similar(rows, distinct, cut(same_band_pairs(distinct, radius, similarity)), width, similarity)
-    roots = connected_components(good)
+    roots = connected_components(similar(rows, distinct, cut(same_band_pairs(distinct, radius, similarity)), width, similarity))
     mixed = mixed_keys(nodes, distinct, roots)
     for pairs in (star_pairs, unlinked_pairs):
         release(docs.sparkSession)
@@ -483,8 +497,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
         release(docs.sparkSession)
         more = similar(rows, distinct, candidates, width, similarity)
         if not more.isEmpty():
-            good = good.unionByName(more)
-            roots = connected_components(good)
+            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     classed = distinct.select("node", "rep", "one").join(roots.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = classed.groupBy("root").agg(F.min("one").alias("least"))
     by_node = classed.join(least, "root").select("node", "least")
