@@ -483,6 +483,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     alike in both stay or go together. Texts with no words are copies of one another; a null text is empty. A null id is
     the least only in a group of no others. An empty table gives no rows.
     """
+    release(docs.sparkSession)  # what made ``docs`` may be over
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), content.alias("text"), F.xxhash64(content).alias("text_hash"))
     nodes = sketches(rows, width, similarity, bands)

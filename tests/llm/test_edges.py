@@ -311,6 +311,15 @@ def test_copies_that_their_representative_rejects(spark, copies):
     assert {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(docs(spark, *texts)).collect()} == want
 
 
+def test_near_copies_whose_hashes_agree_in_sixteen_bits(spark):
+    # so many shingles that a third of their lowest 16 bits are taken by several; 0.818 and 0.777 similar to the first text
+    words = [f"w{i}" for i in range(40_000)]
+    near, far = words[:-4_000] + [f"x{i}" for i in range(4_000)], [f"y{i}" for i in range(5_000)] + words[5_000:]
+    got = simhash.near_duplicate_groups(docs(spark, *((i, " ".join(w)) for i, w in enumerate((words, near, far))))).collect()
+    first, second, third = (r.group_id for r in sorted(got, key=lambda r: r.doc_id))
+    assert first == second != third
+
+
 def test_near_copies_of_odd_rows(spark):
     rnd = random.Random(4)
     a, b, c = (" ".join(f"word{rnd.randrange(5000)}" for _ in range(120)) for _ in range(3))
