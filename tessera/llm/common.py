@@ -79,7 +79,15 @@ def written(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes tables that ``written`` gave once their last reader is done; they can't be read afterwards."""
+    for df in stored:
+        remove(df.sparkSession, df._stored_at)
 
 
 def release(spark: SparkSession) -> None:

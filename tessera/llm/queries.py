@@ -12,11 +12,13 @@ from tessera.llm import chat, pieces, quality
 from tessera.llm.common import table
 from tessera.llm.decontaminate import contamination, is_contaminated
 from tessera.llm.htmltext import extract_text
+from tessera.llm.infill import CODE_POINT, fill_in_middle, restore
 from tessera.llm.lines import line_dedup
 from tessera.llm.neighbours import nearest
 from tessera.llm.shards import shard
 from tessera.llm.simhash import fingerprint_components
 from tessera.llm.substrings import remove_repeats
+from tessera.llm.trie import prefix_trie, rebuilt
 
 
 def _sha256(text: Column) -> Column:
@@ -94,6 +96,20 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, top=20)
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts and forms come from four numbers of each id's hash; a null id counts as the empty text."""
+    digest = F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256)
+    h1, h2, h3, h4 = (F.conv(F.substring(digest, k, 8), 16, 10).cast("long") for k in (1, 9, 17, 25))
+    form = F.when(h3 % 100 >= 90, "plain").when(h4 % 100 < 20, "spm").otherwise("psm")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fill_in_middle(docs, lambda n: (h1 % (n + 1), h2 % (n + 1)), form, CODE_POINT)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha256(F.col("output")).alias("output_sha256"), _sha256(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,6 +127,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_shards": op9_shards,
     "op10_neighbours": op10_neighbours,
+    "op12_infill": op12_infill,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 
@@ -187,4 +205,50 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, row_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth, shard_rows::BIGINT AS shard_rows, shard_bytes::BIGINT AS shard_bytes
         FROM f WHERE k = 1
     """,
+    "op12_infill": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents
+        ), h AS (
+            SELECT doc_id, x, length(x)::BIGINT AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d
+        ), c AS (
+            SELECT doc_id, x, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM h
+        ), p AS (
+            SELECT *, substring(x, 1, a) AS pre, substring(x, a + 1, b - a) AS mid, substring(x, b + 1, n - b) AS suf FROM c
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(x) AS restored_sha256
+        FROM p
+    """,
+    "op13_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+                   {'r': coalesce(role, ''), 't': coalesce(text, '')} AS m
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, list(m ORDER BY i) AS own FROM t GROUP BY conv_id
+        ), crc AS (
+            -- the table of CRC-32, then a byte at a time
+            SELECT list(v ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v FROM (SELECT unnest(range(256)) AS b))
+        ), h AS (
+            SELECT conv_id, own, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda z: ascii(z)::BIGINT)),
+                   lambda x, y: xor(tab[xor(x % 256, y) + 1], x // 256))) % 6 AS h
+            FROM c, crc
+        ), r AS (
+            SELECT h.conv_id, coalesce(b.own, [])[1 : h.h] || h.own[h.h + 1 :] AS ms FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100
+        ), p AS (
+            SELECT conv_id, ms, unnest(range(0, len(ms) + 1)) AS depth FROM r
+        ), n AS (
+            SELECT depth, ms[1 : depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, max(len(ms)) = depth AS leaf,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(ms) = depth), '')) AS ends_sha256
+            FROM p GROUP BY 1, 2
+        ), u AS (
+            SELECT a.conv_id, a.depth, count(*) FILTER (WHERE d.leaf) AS n_leaves, sum(CASE WHEN d.depth > 0 THEN (d.n_convs - 1) * length(d.path[-1].t) ELSE 0 END) AS saved_tokens, count(*) FILTER (WHERE d.depth = a.depth + 1) AS n_children
+            FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM n) d JOIN n a ON a.depth = d.up AND a.path = d.path[1 : d.up] GROUP BY 1, 2
+        )
+        SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+        FROM n JOIN u ON n.conv_id = u.conv_id AND n.depth = u.depth LEFT JOIN n q ON q.depth = n.depth - 1 AND q.path = n.path[1 : n.depth - 1] AND n.depth > 0
+    """,
 }
