@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, pieces, quality
-from tessera.llm.common import table
+from tessera.llm import chat, pieces, quality, toxicity
+from tessera.llm.common import bounded_batches, table
 from tessera.llm.decontaminate import contamination, is_contaminated
 from tessera.llm.htmltext import extract_text
 from tessera.llm.infill import CODE_POINT, fill_in_middle, restore
@@ -96,6 +96,15 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, top=20)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and labels whose id's crc32 is divisible by five are held out; a null id counts as the empty text, so it is."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    bounded_batches(spark)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held))
+    return toxicity.rate(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts and forms come from four numbers of each id's hash; a null id counts as the empty text."""
     digest = F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256)
@@ -127,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_shards": op9_shards,
     "op10_neighbours": op10_neighbours,
+    "op11_toxicity": op11_toxicity,
     "op12_infill": op12_infill,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
