@@ -63,6 +63,12 @@ def bucket_window(width: str, ts: str | Column) -> Column:
     return F.window(ts, f"{micros} microseconds", f"{micros} microseconds", f"{ORIGIN_SECONDS * 1_000_000 % micros} microseconds")
 
 
+def as_interval(interval: str) -> Column:
+    """An interval of months or of a fixed length as a value."""
+    months, seconds = interval_parts(interval)
+    return F.make_ym_interval(F.lit(0), F.lit(months)) if months else _seconds(seconds)
+
+
 def plus(ts: Column, interval: str) -> Column:
     months, seconds = interval_parts(interval)
     return ts + F.make_ym_interval(F.lit(0), F.lit(months)) if months else ts + _seconds(seconds)
