@@ -118,9 +118,11 @@ def _refined(turns: DataFrame, kinds: DataFrame, top: int | None) -> DataFrame:
         run = along.rowsBetween(W.unboundedPreceding, 0)
         rows = rows.select("*", _path(lambda c: F.bit_xor(c).over(run), "k", "l"), _path(lambda c: F.bit_xor(c).over(run), "l", "k"))
         split = ["class", "depth", "kl", "lk"]
-        classes = rows.groupBy(*split).agg(F.min("conv_id").alias("owner"), F.sum("weight").alias("n_convs"), F.count("*").alias("n_kinds"))
+        # stored, so that the join below is between two shuffled tables and a large class's rows can be dealt to several tasks
+        classes = written(rows.groupBy(*split).agg(F.min("conv_id").alias("owner"), F.sum("weight").alias("n_convs"), F.count("*").alias("n_kinds")))
         parent = F.coalesce(F.lag("owner").over(along), F.col("class"))
         done = written(rows.join(classes, split).withColumn("parent", parent).select(*columns))
+        discard(classes)
         rounds.append(done)
         active = done.filter((F.col("depth") == high) & (F.col("n_kinds") > 1) & (F.col("length") > high)).select("conv_id", F.col("owner").alias("class"))
         if active.isEmpty():
