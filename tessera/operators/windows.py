@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.time import as_interval, interval_parts, time_bucket
@@ -55,17 +56,26 @@ def overlap_join(left: DataFrame, right: DataFrame, lo: tuple[str, str], hi: tup
     return one.unionByName(other.select(*one.columns))
 
 
-def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap: str, aggregates: Sequence[Column]) -> DataFrame:
-    """(keys, session_start, last_ts, aggregates): rows of a key of which each is less than ``gap`` after the one before.
+def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap: str, sums: Mapping[str, Column], slab: str = "1 day") -> DataFrame:
+    """(keys, session_start, last_ts, sums): rows of a key of which each is at most ``gap`` after the one before.
 
-    Sessions are merged within every task before they are shuffled, so a key with very many rows sends its sessions, not its
-    rows. Rows without a time are in no session.
+    Sessions are merged within each ``slab`` of time by itself, so a key with very many rows is many tasks' work; those that
+    begin or end within ``gap`` of their slab's border, two of a slab at most, are then put together across slabs. ``sums`` names what is
+    summed up (a count is a sum of ones). Rows without a time are in no session.
     """
-    seconds = interval_parts(gap)[1]
-    df.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
-    grouped = df.groupBy(*keys, F.session_window(ts, f"{round(seconds * 1_000_000)} microseconds").alias("_session"))
-    made = grouped.agg(F.max(ts).alias("last_ts"), F.min(ts).alias("session_start"), *aggregates)
-    return made.select(*keys, "session_start", "last_ts", *(c for c in made.columns if c not in (*keys, "_session", "session_start", "last_ts")))
+    wait, length = interval_parts(gap), interval_parts(slab)
+    if wait[0] or length[0] or not 0 < wait[1] <= length[1]:
+        raise ValueError("the gap must be of a fixed length, and a slab of at least that")
+    rows = df.filter(F.col(ts).isNotNull()).withColumns({"_slab": time_bucket(slab, ts), "_ts": F.col(ts).cast("timestamp_ntz")})
+    grouped = rows.groupBy(*keys, "_slab", F.session_window("_ts", f"{round(wait[1] * 1_000_000)} microseconds").alias("_session"))
+    local = grouped.agg(F.min("_ts").alias("session_start"), F.max("_ts").alias("last_ts"), *(F.sum(c).alias(n) for n, c in sums.items()))
+    edge = (F.col("session_start") <= F.col("_slab") + as_interval(gap)) | (F.col("last_ts") + as_interval(gap) >= F.col("_slab") + as_interval(slab))
+    columns = [*keys, "session_start", "last_ts", *sums]
+    along = W.partitionBy(*keys).orderBy("session_start")
+    fresh = F.coalesce(F.col("session_start") > F.lag("last_ts").over(along) + as_interval(gap), F.lit(True)).cast("int")
+    across = local.filter(edge).withColumn("_fresh", fresh).withColumn("_n", F.sum("_fresh").over(along)).groupBy(*keys, "_n")
+    whole = across.agg(F.min("session_start").alias("session_start"), F.max("last_ts").alias("last_ts"), *(F.sum(n).alias(n) for n in sums))
+    return local.filter(~edge).select(*columns).unionByName(whole.select(*columns))
 
 
 def sliding(df: DataFrame, keys: Sequence[str], ts: str, width: str, slide: str, sums: Mapping[str, Column]) -> DataFrame:

@@ -46,13 +46,13 @@ def overlapping_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_join(after("purchase", "a", 90), after("error", "b", 400), ("a_lo", "b_lo"), ("a_hi", "b_hi"), "30 minutes", ["user_id"]).select("user_id", "a_id", "b_id")
 
 
-@query("""WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL '2 hours', true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+@query("""WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL '2 hours', true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
                s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
           SELECT user_id, min(ts) AS session_start, max(ts) AS last_ts, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, round(sum(value), 4) AS total FROM s GROUP BY user_id, session""")
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions that end after two hours without an event."""
-    counts = [F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.round(F.sum("value"), 4).alias("total")]
-    return sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", "2 hours", counts)
+    """Sessions that end once more than two hours pass without an event."""
+    sums = {"n": F.lit(1).cast("long"), "purchases": F.when(F.col("event_type") == "purchase", 1).otherwise(0).cast("long"), "total": F.col("value")}
+    return sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", "2 hours", sums).withColumn("total", F.round("total", 4))
 
 
 @query("""SELECT event_type, s AS window_start, count(*) AS n, round(sum(value), 4) AS total
