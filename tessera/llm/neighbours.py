@@ -198,14 +198,27 @@ def _introduce(graph: DataFrame, before: DataFrame | None, vectors: Vectors, k:
     return _merged(graph.unionByName(vectors.dealt(groups).mapInArrow(run, LISTS)), k, vectors)
 
 
-def build(vectors: Vectors, k: int = 32, rounds: int = 8, turns: int = 3, reverse: int = 32, seed: int = 7) -> DataFrame:
-    """The neighbour graph (id, to, score)."""
+def build(vectors: Vectors, k: int = 32, rounds: int = 8, turns: int = 16, reverse: int = 32, settled: float = 0.01, seed: int = 7) -> DataFrame:
+    """The neighbour graph (id, to, score). Rounds go on until at most the share ``settled`` of the entries of all lists is new in
+    one, however many vectors there are; ``turns`` bounds them for data on which they never settle."""
     graph, before = cut(_start(vectors, k, rounds, seed)), None
     for turn in range(turns):
         graph, before = cut(_introduce(graph, before, vectors, k, reverse, turn)), graph
+        both = graph.select("id", "to").join(before.select("id", F.col("to").alias("was")), "id", "left")
+        seen = both.agg(F.sum(F.size(F.array_except("to", F.coalesce("was", F.array().cast("array<bigint>"))))).alias("new"), F.sum(F.size("to")).alias("all")).first()
+        if (seen["new"] or 0) <= settled * (seen["all"] or 0):
+            break
     return graph
 
 
+def two_way(graph: DataFrame, k: int) -> DataFrame:
+    """(id, to): the graph with the best ``k`` links that end in each node, turned round. Nodes that few lists have, as long vectors
+    among many short ones, are reached from those that they list themselves."""
+    links = graph.select("id", F.explode(F.arrays_zip("to", "score")).alias("l")).select("id", F.col("l.to").alias("to"), F.col("l.score").alias("score"))
+    back = links.select(F.col("to").alias("id"), F.col("id").alias("to"), F.row_number().over(W.partitionBy("to").orderBy(F.desc("score"), "id")).alias("n")).filter(F.col("n") <= k)
+    return links.select("id", "to").unionByName(back.select("id", "to")).groupBy("id").agg(F.collect_set("to").alias("to"))
+
+
 def search(graph: DataFrame, vectors: Vectors, queries: DataFrame, beam: int = 256) -> DataFrame:
     """(query, ids, scores) of ``queries`` (query, node, q): the best ``beam`` nodes that a greedy walk from ``node`` finds,
     by inner product with ``q``. Nodes of the beam not yet looked at are joined with their neighbours until none is left."""
@@ -241,7 +254,7 @@ def search(graph: DataFrame, vectors: Vectors, queries: DataFrame, beam: int = 2
         state = walked.select("query", "q", "ids", "scores").join(near, "query", "left")
 
 
-def nearest(rows: DataFrame, is_query: Column, top: int = 20, k: int = 32, rounds: int = 8, turns: int = 3, beam: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, top: int = 20, k: int = 32, rounds: int = 8, turns: int = 16, beam: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` rows with the largest inner products for each row that ``is_query`` (of
     ``vec_id``) picks, itself left out, as found on the graph. Scores are exact; ties go to the smaller id.
 
@@ -254,7 +267,7 @@ def nearest(rows: DataFrame, is_query: Column, top: int = 20, k: int = 32, round
     nodes = cut(valid.withColumn("n", place).filter(F.col("n") <= top + 1).groupBy("v").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("copies")))
     asked = valid.filter(is_query).join(nodes.select("v", F.col("id").alias("node")), "v").select(F.col("vec_id").alias("query"), "node", F.col("v").alias("q"))
     vectors = Vectors(nodes.select("id", "v"))
-    graph = build(vectors, k, rounds, turns)
+    graph = cut(two_way(build(vectors, k, rounds, turns), k))
     found = search(graph, vectors, asked, beam)
     # exact scores of the best nodes, in double precision from the original vectors, and their ids
     best = found.select("query", F.explode(F.slice("ids", 1, top + 1 + 2 * top)).alias("id"))

@@ -201,14 +201,9 @@ ORACLES: dict[str, str] = {
         WITH r AS (
             SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, ''))::BIGINT AS row_bytes,
                    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0))), 1, 15))::BIGINT AS h FROM documents
-        ), d0 AS (
-            SELECT greatest(0, ceil(log2(greatest(1, sum(row_bytes) / 8388608.0))))::INTEGER AS d FROM r
         ), g AS (
-            SELECT r, doc_id, row_bytes, depth::INTEGER AS depth, h >> (60 - depth) AS prefix,
-                   count(*) OVER w AS shard_rows, sum(row_bytes) OVER w AS shard_bytes,
-                   row_number() OVER (PARTITION BY r ORDER BY NULL) AS x
-            FROM (SELECT r.*, unnest(range(d0.d, least(d0.d + 24, 60) + 1)) AS depth FROM r, d0)
-            WINDOW w AS (PARTITION BY depth, h >> (60 - depth))
+            SELECT r, doc_id, row_bytes, depth::INTEGER AS depth, h >> (60 - depth) AS prefix, count(*) OVER w AS shard_rows, sum(row_bytes) OVER w AS shard_bytes
+            FROM (SELECT r.*, unnest(range(0, 61)) AS depth FROM r) WINDOW w AS (PARTITION BY depth, h >> (60 - depth))
         ), f AS (
             SELECT *, row_number() OVER (PARTITION BY r ORDER BY depth) AS k FROM g WHERE shard_bytes <= 8388608 OR shard_rows = 1
         )

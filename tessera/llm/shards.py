@@ -1,7 +1,8 @@
 """Sharding by extendible hashing, in DataFrame functions only.
 
-The directory is indexed by the first bits of a hash of each row. All shards start at one depth; only those over the
-byte limit split on one more bit, until every shard fits.
+The directory is indexed by the first bits of a hash of each row. All rows begin in one shard of no bits; a shard over the byte
+limit splits on one more bit, and only such a shard does, until every one fits. The first splits are looked up in one
+histogram over as many bits as most shards will have; what is still too large there is split on bit by bit.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from tessera.llm.common import cut
 
 #: Bits of a hash that shards may use; rows whose bits are all equal are told apart by their number.
 MAX_DEPTH = 60
+#: Bits of the histogram beyond those that equally large shards would have.
+SPARE_BITS = 2
 
 
 def hash_bits(*columns: Column) -> Column:
@@ -28,61 +31,68 @@ def _prefix(depth: int, h: str = "h") -> Column:
     return F.shiftright(F.col(h), MAX_DEPTH - depth)
 
 
-def directory(sizes: DataFrame, limit: int) -> DataFrame:
-    """(prefix, depth, n_rows, bytes): the shards of rows (h, bytes), of at most ``limit`` bytes each.
+def directory(sizes: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """(owner, prefix, depth, n_rows, bytes), and the bits of the histogram: the shards of each owner's rows (owner, h, bytes), of at
+    most ``limit`` bytes each.
 
-    A shard of one row may be larger, as a row isn't divided, and so may one whose rows all have the same hash. Every round
-    looks only at rows of shards that were too large, by sums that are formed before anything is shuffled.
+    A shard of one row may be larger, as a row isn't divided, and so may one whose rows all have the same hash. Sums are
+    formed before anything is shuffled, and beyond the histogram only rows of shards that were too large are looked at.
     """
-    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
-    depth = max(0, math.ceil(math.log2(max(1, total / limit))))
-    done: list[DataFrame] = []
-    rest = sizes
-    while True:
-        sums = cut(rest.groupBy(_prefix(depth).alias("prefix")).agg(F.count("*").alias("n_rows"), F.sum("bytes").alias("bytes"), F.min("h").alias("lo"), F.max("h").alias("hi")))
-        over = (F.col("bytes") > limit) & (F.col("lo") < F.col("hi"))
-        done.append(sums.filter(~over).select("prefix", F.lit(depth).alias("depth"), "n_rows", "bytes"))
-        large = sums.filter(over).select(F.col("prefix").alias("_p"))
-        if depth >= MAX_DEPTH or large.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        rest = rest.join(large, _prefix(depth) == F.col("_p"), "left_semi")
+    most = sizes.groupBy("owner").agg(F.sum("bytes").alias("b")).agg(F.max("b")).first()[0] or 0
+    fine = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, most / limit)))) + SPARE_BITS)
+    sums = lambda df, *by: df.groupBy("owner", *by).agg(F.sum("n_rows").alias("n_rows"), F.sum("bytes").alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rows = sizes.withColumns({"n_rows": F.lit(1).cast("long"), "lo": F.col("h"), "hi": F.col("h")})
+    over = (F.col("bytes") > limit) & (F.col("lo") < F.col("hi"))
+    histogram = cut(sums(rows, _prefix(fine).alias("prefix")))
+    levels = histogram.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(fine)))).withColumn("prefix", F.expr(f"shiftright(prefix, {fine} - depth)"))
+    levels = cut(sums(levels, "depth", "prefix").withColumn("over", over))
+    # a shard is what fits, or holds one hash, below what is over
+    above = levels.filter("over").select("owner", (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("_p"))
+    children = above.select("owner", "depth", F.explode(F.array(F.col("_p") * 2, F.col("_p") * 2 + 1)).alias("prefix"))
+    fitting = levels.filter("NOT over")
+    columns = ["owner", "prefix", "depth", "n_rows", "bytes"]
+    done = [fitting.filter("depth = 0").select(*columns), fitting.join(children, ["owner", "depth", "prefix"], "left_semi").select(*columns)]
+    depth, large = fine, levels.filter(F.col("over") & (F.col("depth") == fine)).select("owner", F.col("prefix").alias("_p"))
+    while depth < MAX_DEPTH and not large.isEmpty():
+        rows = rows.join(large, (rows["owner"] == large["owner"]) & (_prefix(depth) == F.col("_p")), "left_semi")
         depth += 1
+        split = cut(sums(rows, _prefix(depth).alias("prefix")).withColumns({"over": over if depth < MAX_DEPTH else F.lit(False), "depth": F.lit(depth)}))
+        done.append(split.filter("NOT over").select(*columns))
+        large = split.filter("over").select("owner", F.col("prefix").alias("_p"))
+    return reduce(DataFrame.unionByName, done), fine
 
 
 def shard(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row_bytes, shard, depth, shard_rows, shard_bytes): each row with its shard's bits (empty at depth 0).
 
     A row's bytes are those of its text in UTF-8, null as none. Rows are placed by the hash of their id, so rows of one
-    id share a shard unless that is too large for them; then they are split by the hash of id and text and, equal ones,
-    by number, into shards named after the bits with ``-`` and a second set of bits.
+    id share a shard unless that is too large for them; then they are split, in the same way, by the hash of id, text and, for
+    equal ones, number, into shards named after the bits with ``-`` and a second set of bits. So only a single row is ever over
+    the limit. No rows make no shards. Other columns of ``docs``, whatever their names, are passed over.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("row_bytes"), hash_bits(F.col(doc_id)).alias("h"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    rows = cut(rows.withColumn("number", F.monotonically_increasing_id()))
-    found = cut(directory(rows.select("h", F.col("row_bytes").alias("bytes")), limit))
-    placed = _place(rows, found)
+    rows = cut(rows.withColumns({"number": F.monotonically_increasing_id(), "owner": F.lit("")}))
+    placed = _place(rows, *directory(rows.select("owner", "h", F.col("row_bytes").alias("bytes")), limit))
+    columns = ["doc_id", "row_bytes", "shard", "depth", "shard_rows", "shard_bytes"]
     # what is left over the limit after all bits: many rows of one hash
-    same = placed.filter((F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1))
+    alike = (F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)
+    same = placed.filter(alike)
     if same.isEmpty():
-        return placed.select("doc_id", "row_bytes", "shard", "depth", "shard_rows", "shard_bytes")
-    again = cut(same.select("doc_id", "row_bytes", "t", "number", F.col("shard").alias("first"), hash_bits(F.col("doc_id"), F.col("t"), F.col("number")).alias("h")))
-    # each such shard is divided by itself, at a depth that fits it: its rows are alike, so equal parts do
-    parts = again.groupBy("first").agg(F.sum("row_bytes").alias("b"), F.max("row_bytes").alias("m"))
-    deep = parts.select("first", F.greatest(F.lit(1), F.ceil(F.log2(F.col("b") / F.greatest(F.lit(1), F.lit(limit) - F.col("m")))) + 1).cast("int").alias("more"))
-    split = again.join(deep, "first").withColumn("second", F.lpad(F.conv(F.expr(f"shiftright(h, {MAX_DEPTH} - least(more, {MAX_DEPTH}))"), 10, 2), F.col("more"), F.lit("0")))
-    sums = split.groupBy("first", "second").agg(F.count("*").alias("shard_rows"), F.sum("row_bytes").alias("shard_bytes"))
-    split = split.join(sums, ["first", "second"]).select("doc_id", "row_bytes", F.concat_ws("-", "first", "second").alias("shard"), (F.length("first") + F.col("more")).alias("depth"), "shard_rows", "shard_bytes")
-    rest = placed.filter((F.col("shard_bytes") <= limit) | (F.col("shard_rows") <= 1))
-    return rest.select("doc_id", "row_bytes", "shard", "depth", "shard_rows", "shard_bytes").unionByName(split)
-
-
-def _place(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Joins each row to its shard, by the least depth's bits; of the few shards below those the one with its bits."""
-    least = found.agg(F.min("depth").alias("d")).first()["d"]
-    if least is None:
-        return rows.select("*", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_rows"), F.lit(0).cast("long").alias("shard_bytes"))
-    entry = F.expr(f"shiftright(prefix, depth - {least})")
-    below = found.groupBy(entry.alias("entry")).agg(F.collect_list(F.struct("prefix", "depth", "n_rows", "bytes")).alias("shards"))
-    joined = rows.join(below, _prefix(least) == F.col("entry"))
-    own = joined.withColumn("s", F.expr(f"filter(shards, s -> shiftright(h, {MAX_DEPTH} - s.depth) = s.prefix)[0]"))
+        return placed.select(*columns)
+    again = cut(same.select("doc_id", "row_bytes", "t", "number", F.col("shard").alias("owner"), hash_bits(F.col("doc_id"), F.col("t"), F.col("number")).alias("h")))
+    split = _place(again, *directory(again.select("owner", "h", F.col("row_bytes").alias("bytes")), limit))
+    split = split.withColumns({"shard": F.concat("owner", F.lit("-"), "shard"), "depth": F.length("owner") + F.col("depth")})
+    return placed.filter(~alike).select(*columns).unionByName(split.select(*columns))
+
+
+def _place(rows: DataFrame, found: DataFrame, fine: int) -> DataFrame:
+    """Joins each row to its shard through a directory of ``fine`` bits: a shard of fewer bits has several entries, and of several
+    shards below one entry a row takes the one with its bits."""
+    entry = F.when(F.col("depth") <= fine, F.sequence(F.expr(f"shiftleft(prefix, greatest({fine} - depth, 0))"), F.expr(f"shiftleft(prefix + 1, greatest({fine} - depth, 0)) - 1")))
+    entries = found.withColumn("_entry", F.explode(entry.otherwise(F.array(F.expr(f"shiftright(prefix, greatest(depth - {fine}, 0))")))))
+    # stored, so that the rows of a large id can be dealt to several tasks in the join
+    below = cut(entries.groupBy(F.col("owner").alias("_owner"), "_entry").agg(F.collect_list(F.struct("prefix", "depth", "n_rows", "bytes")).alias("_shards")))
+    joined = rows.join(below, (F.col("owner") == F.col("_owner")) & (_prefix(fine) == F.col("_entry")))
+    own = joined.withColumn("s", F.expr(f"filter(_shards, s -> shiftright(h, {MAX_DEPTH} - s.depth) = s.prefix)[0]"))
     name = F.when(F.col("s.depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("s.prefix").cast("string"), 10, 2), F.col("s.depth"), F.lit("0")))
-    return own.select("doc_id", "row_bytes", "h", "t", "number", name.alias("shard"), F.col("s.depth").alias("depth"), F.col("s.n_rows").alias("shard_rows"), F.col("s.bytes").alias("shard_bytes"))
+    return own.select("doc_id", "row_bytes", "h", "t", "number", "owner", name.alias("shard"), F.col("s.depth").alias("depth"), F.col("s.n_rows").alias("shard_rows"), F.col("s.bytes").alias("shard_bytes"))
