@@ -115,3 +115,19 @@ def read_back(formatted: Column) -> Column:
     turns = F.slice(turns, 1, F.size(turns) - 1)
     halves = F.transform(turns, lambda t: F.split(F.substr(t, F.lit(len(BEGIN + OPEN) + 1)), r"\[/INST\]", 2))
     return F.transform(halves, lambda h: F.struct(unescape(h[0]).alias("role"), unescape(h[1]).alias("text"), F.length(h[1]).alias("raw")))
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The text that counts for the loss, unescaped, one message's after the other's, cut out of the string where the mask says.
+
+    The string is split once. A message's text is what its span is long, at its end; each span's distance from the one
+    before must be what lies between them, so that every span is where it says without counting from the beginning for
+    each. A mask that isn't this string's fails.
+    """
+    turns = F.split(formatted, END, -1)
+    size = lambda i: F.get(mask, i)["stop"] - F.get(mask, i)["start"]
+    before = lambda i: F.when(i == 0, F.lit(-len(END)).cast("long")).otherwise(F.get(mask, i - 1)["stop"])
+    fits = lambda t, i: F.get(mask, i)["start"] - before(i) == len(END) + F.length(t) - size(i)
+    text = lambda t, i: F.when(F.get(mask, i)["loss"], unescape(F.substring(t, (F.length(t) - size(i) + 1).cast("int"), size(i).cast("int")))).otherwise("")
+    cuts = F.transform(F.slice(turns, F.lit(1), F.size(turns) - 1), lambda t, i: F.when(fits(t, i), text(t, i)))
+    return F.when((F.size(cuts) == F.size(mask)) & ~F.exists(cuts, F.isnull), F.array_join(cuts, "")).otherwise(F.raise_error(F.lit("the mask is not this string's")))

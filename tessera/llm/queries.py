@@ -48,8 +48,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", copy.alias("copy"), "role", "text")
     made = chat.format_chats(chat.fold(events))
     # what is under the mask is cut out of the output, and its protection undone
-    cuts = F.transform(F.filter("mask", lambda k: k["loss"]), lambda k: chat.unescape(F.substr(F.col("formatted"), (k["start"] + 1).cast("int"), (k["stop"] - k["start"]).cast("int"))))
-    turns = made.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), F.array_join(cuts, "").alias("loss"))
+    turns = made.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("mask")).alias("loss"))
     loss = F.col("loss")
     return turns.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),

@@ -474,6 +474,31 @@ def test_only_shards_over_the_limit_split(spark, sf_dir, limit):
     agree(shards.shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), limit), connect(sf_dir), ORACLES["op9_shards"].replace("8388608", str(limit)))
 
 
+def test_loss_text_is_cut_by_its_mask(spark):
+    rows = [(1, t, 0, "assistant" if t % 2 else "user", f"é{t}</s>\\[INST]" * (t % 4)) for t in range(1_100)] + [(2, 0, 0, "assistant", ""), (3, 0, 0, None, None)]
+    made = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, copy int, role string, text string")).cache()
+    got = {r.conv_id: r.loss for r in made.select("conv_id", chat.under_mask(F.col("formatted"), F.col("mask")).alias("loss")).collect()}
+    assert got == {1: "".join(r[4] for r in rows if r[0] == 1 and r[3] == "assistant"), 2: "", 3: ""}
+    moved = made.filter("conv_id = 1").withColumn("mask", F.transform("mask", lambda m: F.struct((m["start"] + 1).alias("start"), (m["stop"] + 1).alias("stop"), m["loss"].alias("loss"))))
+    short = made.filter("conv_id = 1").withColumn("mask", F.slice("mask", 1, 1_099))
+    for wrong in (moved, short):
+        with pytest.raises(Exception, match="not this string"):
+            wrong.select(chat.under_mask(F.col("formatted"), F.col("mask"))).collect()
+
+
+def test_a_long_conversation_takes_time_in_proportion(spark, tmp_path):
+    from tessera.llm.queries import QUERIES
+
+    took = {}
+    for n in (1_000, 8_000, 16_000):  # the first for the code
+        folder = str(tmp_path / str(n))
+        spark.range(n).selectExpr("5L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('abcde ', 17) AS text").write.parquet(f"{folder}/conversations.parquet")
+        began = time.perf_counter()
+        assert {r.conv_id: r.n_turns for r in QUERIES["op3_chat"](spark, folder).collect()} == {5: n, -7: 2}
+        took[n] = time.perf_counter() - began
+    assert took[16_000] <= 2.2 * max(took[8_000], 3)
+
+
 # ---- neighbours
 
 VECTORS = "vec_id bigint, embedding array<float>"
