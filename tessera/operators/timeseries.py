@@ -41,7 +41,7 @@ def retained(df: DataFrame, ts: str, drop_after: str, as_of: Column, chunk_inter
     bound = minus(as_of, drop_after)
     if chunk_interval is None:
         return df.filter(F.col(ts) >= bound)
-    return df.filter(time_bucket(chunk_interval, ts) >= time_bucket(chunk_interval, bound))
+    return df.filter(F.col(ts) >= time_bucket(chunk_interval, bound))  # the same as comparing chunks, and the scan knows the column
 
 
 @dataclass(frozen=True)

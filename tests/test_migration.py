@@ -68,3 +68,14 @@ def test_files_are_those_of_the_batches(spark):
     several = migrate.numbered(spark, current(), desired(), migrate.Options(max_changes=5))
     assert [v for v, _, _ in several] == list(range(1, len(several) + 1))
     assert sorted(c for _, _, b in several for c in b) == sorted(migrate.all_changes(spark, current(), desired()))
+
+
+def test_a_batch_without_a_statement_takes_no_number(spark):
+    c = parse("CREATE SCHEMA a; CREATE TYPE a.mood AS ENUM ('x', 'y'); CREATE TABLE a.t (v integer); CREATE SCHEMA b; CREATE TABLE b.t (v integer);")
+    d = parse("CREATE SCHEMA a; CREATE TYPE a.mood AS ENUM ('x'); CREATE TABLE a.t (v bigint); CREATE SCHEMA b; CREATE TABLE b.t (v bigint);")
+    options = migrate.Options(max_changes=1, start_version=7)
+    files, warnings = migrate.generate(spark, c, d, options)
+    several = migrate.numbered(spark, c, d, options)
+    assert warnings and len(migrate.all_changes(spark, c, d)) == 3
+    assert [migrate.file_name(v, n, "up") for v, n, _ in several] == [f.name for f in files if f.name.endswith(".up.sql")]
+    assert [v for v, _, _ in several] == [7, 8]

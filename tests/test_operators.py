@@ -85,3 +85,10 @@ def test_streams(spark, sf_dir, tmp_path):
     seen = []
     refresh_by_batch(bucketed(stream_table(spark, str(tmp_path / "in"), 1), "ts", "1 day", [], counts, "60 days"), lambda df, i: seen.append(df.count()), str(tmp_path / "ck2"))
     assert len(seen) >= 3
+
+
+def test_retention_by_chunks_tells_the_scan(spark, sf_dir):
+    from tessera.queries import QUERIES
+
+    plan = QUERIES["retention_chunks"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024" in plan.split("PushedFilters")[1]
