@@ -227,3 +227,28 @@ def test_levels_of_long_chains_and_many_paths(spark):
     assert got == {i: i if i < 1000 else (i - 1000) // 2 for i in ids}
     with pytest.raises(CycleError):
         levels(spark, spark.range(2), spark.createDataFrame([(0, 1), (1, 0)], "waits bigint, waits_for bigint"))
+
+
+def test_tables_like_others():
+    base = """
+        CREATE TABLE a (id bigint GENERATED ALWAYS AS IDENTITY PRIMARY KEY, v integer DEFAULT 3 CONSTRAINT positive CHECK (v > 0), w integer GENERATED ALWAYS AS (v * 2) STORED, o integer REFERENCES b (id), UNIQUE (v, w));
+        CREATE INDEX a_by_w ON a (w DESC) WHERE w > 1 TABLESPACE fast; COMMENT ON COLUMN a.v IS 'value';
+    """
+    c = parse(base + "CREATE TABLE p (LIKE a); CREATE TABLE q (x text, LIKE a INCLUDING ALL EXCLUDING COMMENTS, y text) WITH (fillfactor = 70) TABLESPACE fast;")
+    columns = lambda t: {x["name"]: x for x in c.rows["columns"] if x["table"] == t}
+    p, q = columns("p"), columns("q")
+    assert [x["name"] for x in sorted(q.values(), key=lambda x: x["position"])] == ["x", "id", "v", "w", "o", "y"]
+    assert p["id"]["nullable"] is False and p["id"]["identity"] is None and p["v"]["default"] is None and p["w"]["generated"] is None and p["v"]["comment"] is None
+    assert q["id"]["identity"] == "ALWAYS" and q["v"]["default"] == "3" and q["w"]["generated"] == "v * 2" and q["v"]["comment"] is None
+    kinds = lambda t: sorted((x["kind"], x["name"]) for x in c.rows["constraints"] if x["table"] == t)
+    assert kinds("p") == [] and kinds("q") == [("CHECK", "positive"), ("PRIMARY KEY", "q_pkey"), ("UNIQUE", "q_v_w_key")]
+    assert [(i["name"], i["predicate"]) for i in c.rows["indexes"] if i["table"] == "q"] == [("q_w_desc_idx", "w > 1")]
+    for bad in ("CREATE TABLE z (LIKE nothing);", base + "CREATE TABLE z (LIKE a INCLUDING TRIGGERS);", "CREATE TABLE z (v integer) SOMETHING;"):
+        with pytest.raises(SqlError):
+            parse(bad)
+
+
+def test_fields_of_intervals():
+    c = parse("CREATE TABLE t (a interval day to second(3) NOT NULL, b interval year, c interval(2), d interval hour to minute DEFAULT '1:00');")
+    assert [x["type"] for x in c.rows["columns"]] == ["interval day to second(3)", "interval year", "interval(2)", "interval hour to minute"]
+    assert [x["nullable"] for x in c.rows["columns"]] == [False, True, True, True]
