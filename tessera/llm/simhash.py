@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, release, small_batches, written
@@ -38,6 +39,8 @@ BROADCAST_ROWS = 1 << 20
 #: A shingle that COMMON_TEXTS of about COMMON_SAMPLE texts have is looked up last, at most COMMON_SHINGLES are.
 #: They tell the order of shingles only, so results don't depend on them.
 COMMON_SAMPLE, COMMON_TEXTS, COMMON_SHINGLES = 8_000, 4, 100_000
+#: Shingles of so many unlinked nodes at least are listed with each node, if it has no more than MOST_HOTS of them. Both ways are exact.
+HOT_KEY, MOST_HOTS = 32, 256
 
 
 
@@ -373,23 +376,32 @@ def mixed_keys(nodes: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataF
 
 
 def _rooted(mixed: DataFrame, roots: DataFrame) -> DataFrame:
-    """``mixed`` with each node's root, where a key still has several."""
+    """``mixed`` with each node's root, where a key still has several, and ``nth``, how many such keys a node has before it.
+
+    Keys of at least ``HOT_KEY`` nodes come with their node's such keys and the places of these, ``hots`` and ``spots``, so that two
+    nodes that have many of them in common can meet in the first alone; not for nodes with over ``MOST_HOTS``.
+    """
     rooted = mixed.join(_broadcast_few(roots.withColumnRenamed("node", "rep"), roots.count()), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    several = cut(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key"))
-    return written(rooted.join(_broadcast_few(several, several.count()), "key"))
+    several = cut(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("key", (F.col("m") >= HOT_KEY).alias("hot")))
+    left = rooted.join(_broadcast_few(several, several.count()), "key")
+    left = written(left.withColumn("nth", F.row_number().over(W.partitionBy("rep").orderBy("pos")) - 1))
+    hot = left.filter("hot").groupBy("rep").agg(F.count("*").alias("c"), F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("h")).filter(F.col("c") <= MOST_HOTS)
+    hot = cut(hot.select(F.col("rep").alias("_rep"), F.col("h.key").alias("hots"), F.col("h.pos").alias("spots")))
+    return left.join(_broadcast_few(hot, hot.count()), (F.col("rep") == F.col("_rep")) & F.col("hot"), "left").drop("_rep")
 
 
 def _fits(similarity: float) -> Column:
-    """Whether ``x`` and ``y`` (n, pos), which have a key in common, may be similar by their sizes and the places of that key."""
+    """Whether ``x`` and ``y`` (n, pos, nth), which have a key in common, may be similar by their sizes and the place of that key:
+    before it they share at most as many as either shares with any other group, after it at most what follows in both."""
     n, m = F.col("x.n"), F.col("y.n")
-    most = 1 + F.least("x.pos", "y.pos") + F.least(n - F.col("x.pos") - 1, m - F.col("y.pos") - 1)
+    most = 1 + F.least("x.nth", "y.nth") + F.least(n - F.col("x.pos") - 1, m - F.col("y.pos") - 1)
     return _sizes_fit(n, m, similarity) & (most * (1 + similarity) >= similarity * (n + m) - 1e-6)
 
 
 def star_pairs(rooted: DataFrame, similarity: float) -> DataFrame:
     """(a, b): the least node of each rare shingle with those others that have it, may be similar and aren't in its group:
     no more rows than the shingles have, however large their groups are."""
-    one = rooted.groupBy("key").agg(F.min(F.struct("rep", "n", "pos", "root")).alias("c")).select("key", "c.*")
+    one = rooted.groupBy("key").agg(F.min(F.struct("rep", "n", "pos", "nth", "root")).alias("c")).select("key", "c.*")
     rows = rooted.alias("x").join(one.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _fits(similarity))
     return rows.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct()
 
@@ -399,9 +411,12 @@ def unlinked_pairs(rooted: DataFrame, similarity: float) -> DataFrame:
     anything of their texts is looked at; beyond their last common shingle they share at most what follows in both."""
     n, m = F.col("x.n"), F.col("y.n")
     apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.rep") > F.col("y.rep"))
-    rows = rooted.alias("x").join(rooted.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & _fits(similarity))
+    common = F.array_intersect("x.hots", "y.hots")  # in the order that all texts share; null unless both have them
+    first = F.coalesce(F.get(common, F.lit(0)) == F.col("x.key"), F.lit(True))
+    rows = rooted.alias("x").join(rooted.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & _fits(similarity) & first).withColumn("common", common)
+    last = lambda side: F.coalesce(F.get(F.col(f"{side}.spots"), (F.array_position(F.col(f"{side}.hots"), F.element_at("common", -1)) - 1).cast("int")), F.col(f"{side}.pos"))
     counted = rows.groupBy(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).agg(
-        F.count("*").alias("shared"), F.max(n).alias("n"), F.max(m).alias("m"), F.min(n - F.col("x.pos") - 1).alias("p"), F.min(m - F.col("y.pos") - 1).alias("q")
+        F.sum(F.when(F.col("common").isNull(), 1).otherwise(F.size("common"))).alias("shared"), F.max(n).alias("n"), F.max(m).alias("m"), F.min(n - last("x") - 1).alias("p"), F.min(m - last("y") - 1).alias("q")
     )
     enough = F.col("shared") >= F.least(least_shared(F.col("n")), least_shared(F.col("m")))
     most = F.col("shared") + F.least("p", "q")

@@ -320,6 +320,35 @@ def test_near_copies_whose_hashes_agree_in_sixteen_bits(spark):
     assert first == second != third
 
 
+@pytest.mark.parametrize(("hot", "hots"), [(2, 256), (5, 6), (10**9, 256)])
+def test_nearly_similar_texts_of_one_passage(spark, monkeypatch, hot, hots):
+    """Many texts around the required similarity to each other that share a passage, with and without lists of their common shingles."""
+    monkeypatch.setattr(simhash, "HOT_KEY", hot)
+    monkeypatch.setattr(simhash, "MOST_HOTS", hots)
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(70):
+        words = list(base)
+        for _ in range(r.randrange(1, 6)):  # each word changed takes five shingles
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        if i % 3 == 0:
+            words = words[: r.randrange(95, 121)]
+        texts.append((i, " ".join(words)))
+    want = jaccard_groups(texts)
+    assert len(set(want.values())) > 1
+    rows = []
+    real = simhash.unlinked_pairs
+
+    def spied(rooted, similarity):
+        rows.append(rooted.filter("hots IS NOT NULL").count())
+        return real(rooted, similarity)
+
+    monkeypatch.setattr(simhash, "unlinked_pairs", spied)
+    assert {x.doc_id: x.group_id for x in simhash.near_duplicate_groups(docs(spark, *texts)).collect()} == want
+    assert (rows[0] > 0) == (hot < 100)
+
+
 def test_near_copies_of_odd_rows(spark):
     rnd = random.Random(4)
     a, b, c = (" ".join(f"word{rnd.randrange(5000)}" for _ in range(120)) for _ in range(3))
