@@ -30,7 +30,7 @@ class Materialization:
     spark: SparkSession
     aggregate: ContinuousAggregate
     path: str
-    slab: str = "30 days"
+    slab: str = "7 days"
 
     @property
     def _buckets(self) -> str:
