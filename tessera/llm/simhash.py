@@ -372,7 +372,8 @@ def mixed_keys(nodes: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataF
     both = cut(both)
     release(nodes.sparkSession)
     placed = own.select("rep", "n", F.posexplode("rare").alias("pos", "key"))
-    return written(placed.join(_broadcast_few(both, both.count()), "key").select("key", "rep", "n", "pos"))
+    # joined in the same way at every size: such keys are as many as the texts are long, so a broadcast of them has no bound
+    return written(placed.join(both, "key").select("key", "rep", "n", "pos"))
 
 
 def _rooted(mixed: DataFrame, roots: DataFrame) -> DataFrame:
