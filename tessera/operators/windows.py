@@ -48,6 +48,59 @@ def range_join(ranges: DataFrame, points: DataFrame, lo: str, hi: str, at: str,
     return pairs.filter((F.col(lo) <= F.col(at)) & (F.col(at) < F.col(hi))).drop("_level", "_bin", "_part")
 
 
+def range_sums(ranges: DataFrame, points: DataFrame, lo: str, hi: str, at: str, pane: str, sums: Mapping[str, Column], last: str) -> DataFrame:
+    """(lo, hi, sums, last): of each different range what the points with ``lo <= at < hi`` sum up to, and the last of their times.
+
+    Points are summed up once, by panes of the length ``pane`` times powers of ``STEP``, and a range is put together of the longest panes that
+    are whole within it, some ``2 * STEP`` of each length; so the work grows with the ranges and with the points, not with their pairs.
+    Only points in a pane that a range begins or ends inside of are joined with it one by one. ``sums`` names what is summed up (a count is a
+    sum of ones); sums are added up, never subtracted, so nothing of their precision is lost. Ranges without a point have no row.
+    """
+    months, seconds = interval_parts(pane)
+    if months or seconds <= 0:
+        raise ValueError("panes have a fixed length")
+    micros = round(seconds * 1_000_000)
+    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    since = lambda c: F.timestamp_diff("MICROSECOND", epoch, F.col(c).cast("timestamp_ntz"))
+    after = lambda n: F.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(({n}) * {micros} AS decimal(24, 6)) / 1000000)")
+    named = dict(zip((f"_s{k}" for k in range(len(sums))), sums))
+    rows = points.filter(F.col(at).isNotNull()).select(F.col(at).alias("_at"), *(sums[n].alias(c) for c, n in named.items()))
+    whole = ranges.filter(F.col(lo) < F.col(hi)).select(F.col(lo).alias("_lo"), F.col(hi).alias("_hi")).distinct()
+    whole = whole.withColumns({"_first": F.ceil(since("_lo") / micros), "_end": F.floor(since("_hi") / micros)})
+    longest = whole.agg(F.max(F.col("_end") - F.col("_first"))).first()[0] or 0
+    levels = 1
+    while STEP**levels <= longest:
+        levels += 1
+    panes = base = rows.groupBy(F.floor(since("_at") / micros).alias("_pane")).agg(*(F.sum(c).alias(c) for c in named), F.max("_at").alias("_last")).withColumn("_level", F.lit(0))
+    for level in range(1, levels):
+        base = base.groupBy(F.floor(F.col("_pane") / STEP).alias("_pane")).agg(*(F.sum(c).alias(c) for c in named), F.max("_last").alias("_last")).withColumn("_level", F.lit(level))
+        panes = panes.unionByName(base)
+    # from both ends, those that no pane of the next length holds; then go on with panes of that length
+    parts, span = [], whole.filter(F.col("_first") < F.col("_end"))
+    first, end = F.col("_first"), F.col("_end")
+    for level in range(levels):
+        up, down = (F.ceil(first / STEP) * STEP, F.floor(end / STEP) * STEP) if level + 1 < levels else (end, end)
+        # where no whole longer pane is left between the two, all are taken at this length
+        none = up >= down
+        left, right = F.when(none, end).otherwise(up), F.when(none, end).otherwise(down)
+        run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+        own = F.lit(level).alias("_level")
+        parts.append(F.transform(F.concat(run(first, left), run(right, end)), lambda x: F.struct(own, x.alias("_pane"))))  # noqa: B023
+        first, end = F.when(none, 0).otherwise(F.floor(up / STEP)).cast("bigint"), F.when(none, 0).otherwise(F.floor(down / STEP)).cast("bigint")
+    pieces = span.select("_lo", "_hi", F.explode(F.concat(*parts)).alias("_p")).select("_lo", "_hi", "_p.*")
+    values = ["_lo", "_hi", *named, "_last"]
+    met = pieces.join(panes, ["_level", "_pane"]).select(*values)
+    # what is left before the first whole pane and after the last one
+    inner = whole.withColumns({"_from": after("_first"), "_to": after("_end")})
+    apart = F.col("_first") > F.col("_end")
+    head = inner.select("_lo", "_hi", F.col("_lo").alias("_a"), F.when(apart, F.col("_hi")).otherwise(F.col("_from").cast(dict(whole.dtypes)["_lo"])).alias("_b"))
+    tail = inner.filter(~apart).select("_lo", "_hi", F.col("_to").cast(dict(whole.dtypes)["_hi"]).alias("_a"), F.col("_hi").alias("_b"))
+    edges = head.unionByName(tail).filter(F.col("_a") < F.col("_b"))
+    if not edges.isEmpty():
+        met = met.unionByName(range_join(edges, rows, "_a", "_b", "_at", pane).withColumn("_last", F.col("_at")).select(*values))
+    return met.groupBy(F.col("_lo").alias(lo), F.col("_hi").alias(hi)).agg(*(F.sum(c).alias(n) for c, n in named.items()), F.max("_last").alias(last))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, lo: tuple[str, str], hi: tuple[str, str], width: str, keys: Sequence[str] = ()) -> DataFrame:
     """All pairs of half-open ranges that overlap, each once: one range begins in the other. So those of the right that begin within
     the left are a join of ranges with points, and those of the left that begin within the right, but not at the same time, are another."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.routines import install
-from tessera.operators.windows import overlap_join, range_join, sessions, sliding
+from tessera.operators.windows import overlap_join, range_sums, sessions, sliding
 from tessera.queries.registry import query
 from tessera.session import table
 
@@ -30,9 +30,9 @@ def _order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_in_order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order what happens in its own window."""
     windows = _order_windows(spark, sf_dir)
-    pairs = range_join(windows, table(spark, sf_dir, "events").select("event_id", "ts", "value"), "lo", "hi", "ts", "10 minutes")
-    found = pairs.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("ts").alias("last_ts"))
-    out = windows.select("o_orderkey").join(found, "o_orderkey", "left")
+    sums = {"n": F.lit(1).cast("long"), "total": F.col("value")}
+    found = range_sums(windows, table(spark, sf_dir, "events"), "lo", "hi", "ts", "1 minute", sums, "last_ts")
+    out = windows.join(found, ["lo", "hi"], "left").groupBy("o_orderkey").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("last_ts").alias("last_ts"))
     return out.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("total", F.lit(0.0)), 4).alias("total"), "last_ts")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.routines import install, parameters, spark_ddl, spark_type
-from tessera.operators.windows import overlap_join, range_join, sessions, sliding
+from tessera.operators.windows import overlap_join, range_join, range_sums, sessions, sliding
 from tessera.sources.ddl import parse
 from tessera.sources.lexer import SqlError
 from tessera.streaming.late import added_files, append_to_files, closed_buckets, compact_versions, dropped_rows, first_deliveries, latest, upsert_versions
@@ -180,3 +180,22 @@ def test_versions_are_upserted(spark, tmp_path):
     assert sorted((r.bucket, r.n) for r in latest(spark, out, ["bucket"]).collect()) == want and spark.read.parquet(out).count() == 5
     compact_versions(spark, out, ["bucket"], str(tmp_path / "small"))
     assert sorted((r.bucket, r.n) for r in latest(spark, str(tmp_path / "small"), ["bucket"]).collect()) == want
+
+
+@pytest.mark.parametrize("unit", [1, 60])
+def test_range_sums_are_those_of_all_pairs_without_making_them(spark, unit):
+    rng, start = random.Random(unit), datetime(2024, 1, 1)
+    at = lambda minutes: start + timedelta(seconds=minutes * unit)
+    ranges = [(at(a), at(a + rng.choice([0, 1, 3, 59, 700]))) for a in (rng.randrange(3000) for _ in range(150))] + [(at(5), at(3)), (None, at(9)), (at(9), None)]
+    points = [(at(rng.randrange(3600)), rng.choice([None, 1.25, 2.5])) for _ in range(400)] + [(at(700), 0.5)] * 30 + [(None, 9.0)]
+    left, right = spark.createDataFrame(ranges, "lo timestamp_ntz, hi timestamp_ntz"), spark.createDataFrame(points, "ts timestamp_ntz, value double")
+    got = range_sums(left, right, "lo", "hi", "ts", "1 minute", {"n": F.lit(1).cast("long"), "total": F.col("value")}, "last_ts")
+    want = {}
+    for lo, hi in ranges:
+        inside = [(t, v) for t, v in points if lo and hi and t and lo <= t < hi]
+        if inside:
+            values = [v for _, v in inside if v is not None]
+            want[lo, hi] = (len(inside), sum(values) if values else None, max(t for t, _ in inside))
+    assert {(r.lo, r.hi): (r.n, r.total, r.last_ts) for r in got.collect()} == want and got.count() == len(want)
+    assert range_sums(left.limit(0), right, "lo", "hi", "ts", "1 minute", {"n": F.lit(1)}, "last_ts").count() == 0
+    assert range_sums(left, right.limit(0), "lo", "hi", "ts", "1 minute", {"n": F.lit(1)}, "last_ts").count() == 0
