@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -557,3 +558,34 @@ def test_neighbours_of_odd_vectors(spark, monkeypatch, limit):
     assert hits >= 0.95 * 20 * len(got)
     few = spark.createDataFrame(rows[:5] + odd, VECTORS)
     assert neighbours.nearest(few, F.col("vec_id") == 0).count() == 4 and neighbours.nearest(few.limit(0), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_neighbours_by_slices_leave_little_on_the_disk(spark, monkeypatch, limit):
+    for name, value in {"BROADCAST_BYTES": limit, "SLICE_VECTORS": 800 if limit else 2400, "SLICE_QUERIES": 80, "AHEAD": 16}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    peak, stored, shared = [0], neighbours.written, Path(spark.conf.get("spark.checkpoint.dir"))
+
+    def size():
+        return sum(p.stat().st_size for p in shared.glob("tessera-*/*.parquet"))
+
+    def measured(df):
+        out = stored(df)
+        peak[0] = max(peak[0], size() - before)
+        return out
+
+    monkeypatch.setattr(neighbours, "written", measured)
+    before = size()
+    x = np.random.default_rng(3).standard_normal((1200, 16)).astype(np.float32)
+    x[:, 0] += 40  # a part that all share must not cost the others their precision
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS)
+    got: dict = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 10 == 0, top=10, k=16, rounds=2, turns=4, beam=64).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    s = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(s, -np.inf)
+    assert set(got) == set(range(0, 1200, 10)) and all(len(g) == 10 for g in got.values())
+    assert all(abs(s[q, v] - score) < 1e-9 for q, g in got.items() for v, score in g.items())
+    hits = sum(len(set(np.argsort(-s[q])[:10].tolist()) & set(g)) for q, g in got.items())
+    assert hits >= 0.9 * 1200
+    assert peak[0] <= 12 * x.nbytes, peak
